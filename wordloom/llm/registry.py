@@ -29,8 +29,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op6_ngram_join": op6_ngram_join,
     "op10_language_id": op10_language_id,
 }
