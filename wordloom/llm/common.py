@@ -33,6 +33,26 @@ def map_texts(
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def map_rows(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch, int], pa.RecordBatch]]) -> DataFrame:
+    """Run a batch function over whole rows of ``df``; what it returns has the same columns. It
+    gets each batch and the number of ``column`` in it."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            yield function(batch, at)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str, broadcast_rows: int = 500_000) -> DataFrame:
+    """``df`` without the rows of ``ids``. Few ids are broadcast, more are joined by a shuffle."""
+    ids = materialize(ids.distinct())
+    few = count_rows(ids) <= broadcast_rows
+    return df.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
+
+
 def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import count_rows, materialize
+from wordloom.llm.common import count_rows, materialize, without
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -149,3 +149,9 @@ def leaks(
     if steps > 1:  # an id may stand in several blocks
         found = found.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min("first_word").alias("first_word"))
     return found
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` into which no item leaks."""
+    found = leaks(docs, benchmark, id_col, text_col)
+    return without(docs, found.select(F.col("doc_id").alias(id_col)), id_col)

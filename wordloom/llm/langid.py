@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_texts, texts_of
+from wordloom.llm.common import map_rows, map_texts, texts_of
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-8
@@ -218,6 +218,77 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     return langs, probability
 
 
+def predictor(langs: list[str], probability: np.ndarray, path: str):
+    """A function from texts to their languages and scores."""
+    own = lattice(path)
+    known: dict[str, int] = {}
+    table = np.zeros((0, len(langs)))
+    filled = 0
+
+    def learn(words: set[str]) -> None:
+        nonlocal table, filled
+        new = list(words.difference(known))
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            filled, new = 0, list(words)
+        if new:
+            if filled + len(new) > len(table):
+                table = np.vstack([table[:filled], np.zeros((len(new) + filled + 10_000, len(langs)))])
+            table[filled : filled + len(new)] = own.scores(new, probability)
+            known.update(zip(new, range(filled, filled + len(new))))
+            filled += len(new)
+
+    def predict(texts: list[str]) -> tuple[list[str], list[float]]:
+        pred, score = [], []
+        for at in range(0, len(texts), 500):
+            found = [WORD.findall(t.lower()) for t in texts[at : at + 500]]
+            if langs:
+                learn(set().union(*found))
+            for words in found:
+                if not words or not langs:
+                    pred.append("und")
+                    score.append(0.0)
+                    continue
+                sums = table[list(map(known.__getitem__, words))].sum(axis=0) / len(words) ** 0.5
+                best = int(sums.argmax())
+                pred.append(langs[best])
+                score.append(float(1 / np.exp(sums - sums[best]).sum()))
+        return pred, score
+
+    return predict
+
+
+def _labelled(df: DataFrame, id_col: str, lang_col: str) -> DataFrame:
+    held = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
+    return df.where(~F.coalesce(held, F.lit(False)) & F.col(lang_col).isNotNull())
+
+
+def keep_identified(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    least: float = 0.5,
+    sample: int = 400,
+    vocabulary: str | None = None,
+) -> DataFrame:
+    """The rows of ``df`` whose language is found with a score of at least ``least``."""
+    path = vocabulary or default_vocabulary()
+    langs, probability = fit(_labelled(df, id_col, lang_col), id_col, text_col, lang_col, sample, path)
+    model = df.sparkSession.sparkContext.broadcast((langs, probability))
+
+    def make():
+        predict = predictor(*model.value, path)
+
+        def run(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+            pred, score = predict(texts_of(batch.column(at)))
+            return batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score)], pa.bool_()))
+
+        return run
+
+    return map_rows(df, text_col, make)
+
+
 def identify(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -234,45 +305,15 @@ def identify(
     """
     path = vocabulary or default_vocabulary()
     held = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
-    labelled = df.where(~held & F.col(lang_col).isNotNull())
-    langs, probability = fit(labelled, id_col, text_col, lang_col, sample, path)
+    langs, probability = fit(_labelled(df, id_col, lang_col), id_col, text_col, lang_col, sample, path)
     model = df.sparkSession.sparkContext.broadcast((langs, probability))
     id_type = df.schema[id_col].dataType.simpleString()
 
     def make():
-        langs, probability = model.value
-        own = lattice(path)
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(langs)))
-        filled = 0
+        predict = predictor(*model.value, path)
 
         def run(columns: list[pa.Array]) -> list[pa.Array]:
-            nonlocal table, filled
-            texts = texts_of(columns[2])
-            pred, score = [], []
-            for at in range(0, len(texts), 500):
-                found = [WORD.findall(t.lower()) for t in texts[at : at + 500]]
-                if langs:
-                    new = list(set().union(*found).difference(known))
-                    if len(known) + len(new) > REMEMBERED:
-                        known.clear()
-                        filled = 0
-                        new = list(set().union(*found))
-                    if new:
-                        if filled + len(new) > len(table):
-                            table = np.vstack([table[:filled], np.zeros((len(new) + filled + 10_000, len(langs)))])
-                        table[filled : filled + len(new)] = own.scores(new, probability)
-                        known.update(zip(new, range(filled, filled + len(new))))
-                        filled += len(new)
-                for words in found:
-                    if not words or not langs:
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    sums = table[list(map(known.__getitem__, words))].sum(axis=0) / len(words) ** 0.5
-                    best = int(sums.argmax())
-                    pred.append(langs[best])
-                    score.append(float(1 / np.exp(sums - sums[best]).sum()))
+            pred, score = predict(texts_of(columns[2]))
             return [columns[0], columns[1], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
 
         return run

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import kernel as K
-from wordloom.llm.common import count_rows, map_texts, materialize
+from wordloom.llm.common import count_rows, map_texts, materialize, without
 from wordloom.llm.components import components
 
 #: A key that more sets share joins only together with another key.
@@ -258,3 +258,16 @@ def join_components(
     named = named.join(least_id, "component").select("cls", "component_id")
     out = docs.join(named, "cls", "left")
     return out.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``df`` without the documents that another of less id is linked with, directly
+    or through others; of rows with the same id and text one stays."""
+    found = materialize(join_components(df, id_col, text_col, words, percent).where("n_shingles > 0"))
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id"))
+    gone = gone.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col))
+    kept = without(df, gone, id_col)
+    twice = found.groupBy(id_col).count().where("count > 1")
+    if twice.isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col, text_col])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import map_texts, materialize, texts_of
+from wordloom.llm.common import map_rows, map_texts, materialize, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 #: All kinds, in the order of their spans.
@@ -190,10 +190,8 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_email, n_ip, n_card, n_phone, base_sha256, spans (`kind:start:end` in code
-    points, end exclusive, joined by commas), n_spans."""
-    id_type = df.schema[id_col].dataType.simpleString()
+def _proposed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, base spans joined, further candidates, their votes and shapes)."""
 
     def propose(columns: list[pa.Array]) -> list[pa.Array]:
         base, more, seen = [], [], []
@@ -202,26 +200,40 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             extra = candidates(text, found)
             base.append(_joined(found))
             more.append([f"{k}:{s}:{e}" for k, s, e in extra])
-            seen.append([" ".join(map(str, (c[0], *votes(text, c)))) for c in extra])
+            seen.append([_vote(text, c) for c in extra])
         texts = pa.list_(pa.field("element", pa.string()))
         return [columns[0], pa.array(base, pa.string()), pa.array(more, texts), pa.array(seen, texts)]
 
-    schema = f"`{id_col}` {id_type}, base string, candidates array<string>, votes array<string>"
-    found = materialize(map_texts(df, [id_col, text_col], schema, lambda: propose))
-    counts = found.select(F.explode("votes").alias("vote")).groupBy("vote").agg(F.count(F.lit(1)).alias("n")).collect()
-    weights: dict[str, np.ndarray] = {}
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, base string, candidates array<string>, votes array<string>"
+    return map_texts(df, [id_col, text_col], schema, lambda: propose)
+
+
+def _vote(text: str, span: Span) -> str:
+    return " ".join(map(str, (span[0], *votes(text, span))))
+
+
+def _accepted(proposed: DataFrame) -> set[str]:
+    """The votes and shapes that the classifiers of the kinds accept."""
+    counts = proposed.select(F.explode("votes").alias("vote")).groupBy("vote").agg(F.count(F.lit(1)).alias("n")).collect()
     by_kind: dict[str, list[tuple[list[int], int]]] = {}
-    for vote, n in counts:
+    for vote, n in sorted(counts):
         kind, *values = vote.split()
         by_kind.setdefault(kind, []).append((list(map(int, values)), n))
-    for kind, rows in sorted(by_kind.items()):
-        weights[kind] = fit_classifier(np.array([r for r, _ in sorted(rows)]), np.array([float(n) for _, n in sorted(rows)]))
     accepted = set()
     for kind, rows in by_kind.items():
         values = np.array([r for r, _ in rows])
-        for r, score in zip(values, _features(values) @ weights[kind]):
+        weights = fit_classifier(values, np.array([float(n) for _, n in rows]))
+        for r, score in zip(values, _features(values) @ weights):
             if score >= 0:
                 accepted.add(" ".join(map(str, (kind, *r))))
+    return accepted
+
+
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, n_email, n_ip, n_card, n_phone, base_sha256, spans (`kind:start:end` in code
+    points, end exclusive, joined by commas), n_spans."""
+    found = materialize(_proposed(df, id_col, text_col))
+    accepted = _accepted(found)
 
     def decide(columns: list[pa.Array]) -> list[pa.Array]:
         out: list[list] = [[] for _ in range(7)]
@@ -234,10 +246,37 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
         return [columns[0], *(pa.array(c, t) for c, t in zip(out, types))]
 
+    id_type = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
     return map_texts(found, [id_col, "base", "candidates", "votes"], schema, lambda: decide)
 
 
+def redact_texts(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of ``df`` with the spans in ``text_col`` replaced by their kinds; ``length_col``,
+    if given, gets the new number of code points where the text changed. Null stays null."""
+    accepted = _accepted(_proposed(df, text_col, text_col))
+
+    def run(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+        texts, changed = batch.column(at).to_pylist(), {}
+        for i, text in enumerate(texts):
+            if text:
+                base = base_spans(text)
+                spans = base + [c for c in candidates(text, base) if _vote(text, c) in accepted]
+                if spans:
+                    changed[i] = texts[i] = redact(text, _joined(spans))
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, columns[at].type)
+        if length_col is not None:
+            n = batch.schema.get_field_index(length_col)
+            lengths = columns[n].to_pylist()
+            for i, text in changed.items():
+                lengths[i] = len(text)
+            columns[n] = pa.array(lengths, columns[n].type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return map_rows(df, text_col, lambda: run)
+
+
 def redact(text: str, spans: str) -> str:
     """``text`` with each span replaced by its kind in brackets; overlapping ones by one."""
     out, at = [], 0
