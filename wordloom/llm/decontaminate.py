@@ -39,17 +39,20 @@ ANCHORS = 500_000
 BROADCAST_DOCS = 200_000
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of all five-word shingles, in order."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _held(column: Column) -> Column:
+    """The column by way of a generator of one row. Optimizer rules don't move expressions across
+    a generator, so what stands above reads the value and doesn't evaluate it again, which inside
+    a lambda function would be once for each element."""
+    return F.explode(F.array(column))
 
 
 def _shingled(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds `hs`. Two steps, so that the words are hashed once."""
-    df = df.withColumn("ws", shingle_hashes(F.col(text_col)))
+    """Adds `hs`, the hashes of all five-word shingles in order."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    df = df.select("*", _held(F.transform(words, lambda w: F.xxhash64(w))).alias("ws"))
     runs = F.transform("ws", lambda w, i: F.xxhash64(w, *(F.get("ws", i + k) for k in range(1, WORDS))))
-    return df.withColumn("hs", F.slice(runs, F.lit(1), F.greatest(F.size("ws") - (WORDS - 1), F.lit(0)))).drop("ws")
+    runs = F.slice(runs, F.lit(1), F.greatest(F.size("ws") - (WORDS - 1), F.lit(0)))
+    return df.select("*", _held(runs).alias("hs")).drop("ws")
 
 
 def fingerprint(hashes: str) -> Column:
@@ -94,9 +97,8 @@ def _windows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def _verified(windows: DataFrame, items: DataFrame) -> DataFrame:
-    """(window, item_id, similarity) of the pairs that reach SIMILARITY; windows: (window, n, hs)."""
-    left = windows.select("window", "n", fingerprint("hs").alias("fp"))
-    left = left.select("window", "n", "fp", F.explode(_blocks("fp")).alias("block"))
+    """(window, item_id, similarity) of pairs that reach SIMILARITY; windows: (window, n, hs, fp)."""
+    left = windows.select("window", "n", "fp", F.explode(_blocks("fp")).alias("block"))
     right = items.select("item", "n", F.col("fp").alias("item_fp"), F.explode(_blocks("fp")).alias("block"))
     near = left.join(F.broadcast(right), ["n", "block"])
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("window", "item").distinct()
@@ -137,7 +139,8 @@ def leaks(
         cut = F.slice("hs", F.greatest(start, F.lit(0)) + 1, n + F.least(start, F.lit(0)))
         held = held.select("doc_id", F.greatest(start, F.lit(0)).alias("first_word"), n.alias("n"), cut.alias("hs"))
         held = materialize(held.where(F.size("hs") > 0).withColumn("window", F.xxhash64("n", "hs")))
-        windows = materialize(held.select("window", "n", "hs").dropDuplicates(["window"]))
+        windows = held.select("window", "n", "hs").dropDuplicates(["window"])
+        windows = materialize(windows.withColumn("fp", fingerprint("hs")))
         found = _verified(windows, part)
         found = held.select("doc_id", "first_word", "window").join(found, "window")
         out.append(
