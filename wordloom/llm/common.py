@@ -26,13 +26,25 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(function(batch.columns), schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+#: Bytes of a batch that a function gets at once, unless a single row has more.
+SLICE = 6_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where they hold many long texts."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch, int], pa.RecordBatch]]) -> DataFrame:
     """Run a batch function over whole rows of ``df``; what it returns has the same columns. It
     gets each batch and the number of ``column`` in it."""
@@ -40,7 +52,7 @@ def map_rows(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
+        for batch in slices(batches):
             yield function(batch, at)
 
     return df.mapInArrow(run, df.schema)
