@@ -1,0 +1,62 @@
+import os
+import re
+from pathlib import Path
+
+import pytest
+
+from tests.test_search import ask, lines, tree
+from wordloom.operators import browse, replay, search
+
+GOLDENS = Path(os.environ["WORDLOOM_GOLDENS"]) if "WORDLOOM_GOLDENS" in os.environ else None
+
+
+def test_trace_of_two_words(spark):
+    nodes = tree(spark, [("alla", 99, 1), ("alle", 50, 2)])
+    got = [r.line for r in replay.trace(nodes, ask(spark, "ala")).orderBy("place").collect()]
+    assert len(got) == 14
+    assert got[:5] == [
+        "a <-> ala, dist(2), min(0), keep: dist too big, search: do search",
+        "al <-> ala, dist(1), min(0), keep: dist too big, search: do search",
+        "all <-> ala, dist(1), min(1), keep: dist too big, search: do search",
+        "alla <-> ala, dist(1), min(1), keep: word kept, search: no children",
+        "alle <-> ala, dist(2), min(2), keep: dist too big, search: min dist too big",
+    ]
+    assert got[-1] == "allae <-> e 5.0% (max 0.0%), keep: too low percentile, search: max child percentile too small"
+
+
+def test_plain_and_replayed_agree_without_ties(spark):
+    words = [("plan", 152, 1), ("plat", 324, 2), ("plate", 406, 3), ("plain", 107, 4), ("pluck", 258, 5), ("plastered", 209, 6)]
+    nodes, asked = tree(spark, words), ask(spark, "pla", "plane", "xlan", "p", "", "plate")
+    assert lines(replay.replay(nodes, asked)) == lines(search.suggestions(nodes, asked))
+
+
+@pytest.fixture(scope="module")
+def goldens(spark):
+    """Recorded results of a larger word list: a dump of the tree, which holds the list, and
+    results of queries. WORDLOOM_GOLDENS names the folder that has them; they are not part of
+    this repository."""
+    if GOLDENS is None:
+        pytest.skip("WORDLOOM_GOLDENS is not set")
+    texts = [f.read_text() for f in sorted(GOLDENS.iterdir())]
+    dump = max((t for t in texts if "(idx: " in t), key=len)
+    rows = re.findall(r"^ *(\S.*?)    \(idx: (\d+), (\d+)% & max: \d+%\)$", dump, re.M)
+    return texts, dump, tree(spark, sorted((w, int(p), int(i)) for w, i, p in rows)), {w for w, _, _ in rows}
+
+
+def test_recorded_results(spark, goldens):
+    texts, _, nodes, words = goldens
+    want, queries = [], []
+    for text in texts:
+        found = re.findall(r"^(Matching|Spelling|Extension) (\d+) [\d.]+%\s+(\S+)", text, re.M)
+        if found and words.issuperset(w for _, _, w in found):
+            queries.append(re.search(r'\\?"(\w+)\\?"\)', text)[1])
+            want.append(found)
+    assert len(queries) >= 7
+    rows = replay.replay(nodes, ask(spark, *queries)).orderBy("query_id", "rank").collect()
+    assert [[(r.kind, str(r.expr_index), r.word) for r in rows if r.query_id == i] for i in range(len(queries))] == want
+
+
+def test_recorded_dump(spark, goldens):
+    _, dump, nodes, _ = goldens
+    got = [r.line for r in browse.dump(nodes).orderBy("path", "place").collect()]
+    assert got == dump.split("---\n", 2)[2].strip("\n").split("\n")
