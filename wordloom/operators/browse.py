@@ -14,6 +14,12 @@ def index_of(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(words, "query", "left")
 
 
+def word_of_expr(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """(expr_index, word, percentile) for a column of indexes; null for what no word has."""
+    words = nodes.where("expr_index IS NOT NULL").select("expr_index", F.col("prefix").alias("word"), "percentile")
+    return queries.join(words, "expr_index", "left")
+
+
 def find(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """Queries with their node (`node`, null: none). An empty query stands for the first node of
     the top level."""

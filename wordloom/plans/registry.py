@@ -55,6 +55,13 @@ def _find(spark, sf_dir):
     return found.select("query", F.col("node").isNotNull().alias("is_node"), F.col("node.max_child_percentile").alias("max_child_percentile"))
 
 
+def _word_of_expr(spark, sf_dir):
+    """Indexes of the targets, and as many that no word has."""
+    own = typos(spark, sf_dir).join(dictionary(spark, sf_dir), F.col("target") == F.col("word")).select("expr_index").distinct()
+    none = own.select((-F.col("expr_index")).alias("expr_index"))
+    return browse.word_of_expr(nodes(spark, sf_dir), own.unionByName(none))
+
+
 def _path_of(spark, sf_dir):
     words = dictionary(spark, sf_dir).select(F.col("word").alias("query"))
     return browse.path_of(nodes(spark, sf_dir), words)
@@ -123,6 +130,7 @@ QUERIES: dict[str, Query] = {
     "dictionary": dictionary,
     "exact_lookup": _exact_lookup,
     "find_node": _find,
+    "word_of_expr": _word_of_expr,
     "prefix_topk": lambda s, d: search.top_words(nodes(s, d), prefixes(s, d), TOP),
     "completions": lambda s, d: search.completions(nodes(s, d), prefixes(s, d)),
     "completions_filtered": lambda s, d: search.completions(nodes(s, d), prefixes(s, d), "expr_index % 2 = 0"),
@@ -278,6 +286,9 @@ ORACLE_SQL: dict[str, str] = {
     "exact_lookup": f"WITH {_DICT}, {_TYPOS}, {_LOOKUPS} SELECT query, expr_index FROM asks LEFT JOIN dict ON word = query",
     "find_node": f"""WITH {_NODES}, {_TYPOS}, {_LOOKUPS} SELECT query, prefix IS NOT NULL AS is_node, mcp AS max_child_percentile
 FROM asks LEFT JOIN nodes ON prefix = query""",
+    "word_of_expr": f"""WITH {_NODES}, {_TYPOS}, own AS (SELECT DISTINCT d.expr_index FROM typos JOIN dict d ON d.word = target),
+asked AS (SELECT expr_index FROM own UNION ALL SELECT -expr_index FROM own)
+SELECT expr_index, word, percentile FROM asked LEFT JOIN eff USING (expr_index)""",
     "prefix_topk": f"""WITH {_NODES}, {_PREFIXES} SELECT query_id, query, word,
 row_number() OVER (PARTITION BY query_id ORDER BY percentile DESC, word) AS rank FROM prefixes JOIN eff ON starts_with(word, query)
 QUALIFY rank <= {TOP}""",
