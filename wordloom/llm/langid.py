@@ -24,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import map_rows, map_texts, texts_of
@@ -258,9 +258,14 @@ def predictor(langs: list[str], probability: np.ndarray, path: str):
     return predict
 
 
-def _labelled(df: DataFrame, id_col: str, lang_col: str) -> DataFrame:
+def _held_out(id_col: str) -> Column:
+    """Is crc32(id as text) mod 4 equal to 2? Without an id it is not."""
     held = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
-    return df.where(~F.coalesce(held, F.lit(False)) & F.col(lang_col).isNotNull())
+    return F.coalesce(held, F.lit(False))
+
+
+def _labelled(df: DataFrame, id_col: str, lang_col: str) -> DataFrame:
+    return df.where(~_held_out(id_col) & F.col(lang_col).isNotNull())
 
 
 def keep_identified(
@@ -304,7 +309,6 @@ def identify(
     so that long texts don't all reach 1.
     """
     path = vocabulary or default_vocabulary()
-    held = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
     langs, probability = fit(_labelled(df, id_col, lang_col), id_col, text_col, lang_col, sample, path)
     model = df.sparkSession.sparkContext.broadcast((langs, probability))
     id_type = df.schema[id_col].dataType.simpleString()
@@ -320,5 +324,5 @@ def identify(
 
     schema = f"`{id_col}` {id_type}, held_out boolean, lang_pred string, score double"
     return map_texts(
-        df.select(id_col, held.alias("held_out"), text_col), [id_col, "held_out", text_col], schema, make
+        df.select(id_col, _held_out(id_col).alias("held_out"), text_col), [id_col, "held_out", text_col], schema, make
     )
