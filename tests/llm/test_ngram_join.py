@@ -70,3 +70,19 @@ def test_pairs_within_the_bound_meet_twice(n):
         if 100 * common >= 85 * (n + len(other) - common) and len(np.setxor1d(base, other)):
             shared = np.intersect1d(N.keys_of(np.sort(base), bands), N.keys_of(other, bands))
             assert len(shared) >= 2
+
+
+def test_sketches_rule_no_link_out():
+    r = np.random.default_rng(8)
+    sets = []
+    for n in (5, 30, 300, 3000):
+        base = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        sets += [base] + [np.unique(np.r_[base[k:], r.integers(0, 2**63, k).astype(np.uint64)]) for k in (1, n // 14, n // 12)]
+    names = list(range(len(sets)))
+    possible = {frozenset(p) for p in N.possible_links(names, [len(s) for s in sets], [N.sketch_of(s) for s in sets], 85)}
+    for a, b in N.forest(names, sets, 85):
+        joined, grew = {a}, True
+        while grew:
+            more = {x for p in possible if p & joined for x in p} - joined
+            joined, grew = joined | more, bool(more)
+        assert b in joined

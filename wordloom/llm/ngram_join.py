@@ -10,7 +10,9 @@ only together with a second one. Nothing that can link is lost by either: e + 1
 always give two equal keys.
 
 Sets that meet are gathered into clusters, without any pairs; clusters are dealt out as tiles of
-bounded size, in which the intersections are counted exactly. A tile returns a spanning forest
+bounded size. In a first round tiles hold short parity sketches, and sets stay together only by
+sketches whose distance doesn't rule a link out. In a second round tiles hold the sets of what is
+left of the clusters, and the intersections are counted exactly. A tile returns a spanning forest
 of its links, from which the components follow.
 
 Equal sets are one class, found first. Classes are 64-bit hashes of whole sets.
@@ -37,6 +39,8 @@ from wordloom.llm.components import components
 OFTEN = 32
 #: Sets in one side of a tile.
 TILE = 256
+#: Bits of the sketches that are compared one to one.
+SKETCH = 1024
 #: Most ids (8 bytes each) that are sent to each executor; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -84,6 +88,12 @@ def keys_of(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, K.U)
 
 
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """The parity sketch in SKETCH bits."""
+    bits = np.bincount((K.mix(tokens, 6) >> K.U(30)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def class_of(tokens: np.ndarray) -> int:
     """The id of a set: a 64-bit hash of all its tokens."""
     with np.errstate(over="ignore"):
@@ -99,11 +109,13 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
                 columns[0],
                 pa.array([None if x else class_of(s) for s, x in zip(sets, none)], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([None if x else sketch_of(s) for s, x in zip(sets, none)], pa.binary()),
             ]
 
         return run
 
-    return map_texts(df, [id_col, text_col], f"`{id_col}` bigint, cls bigint, n_shingles bigint", make)
+    schema = f"`{id_col}` bigint, cls bigint, n_shingles bigint, sketch binary"
+    return map_texts(df, [id_col, text_col], schema, make)
 
 
 def _keys(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
@@ -147,31 +159,51 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: i
     return docs.select(text_col, "cls").mapInArrow(run, "cls bigint, tokens binary").dropDuplicates(["cls"])
 
 
-def forest(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links among some sets."""
-    root = list(range(len(sets)))
+class _Forest:
+    """A spanning forest of the links that are told to it."""
 
-    def find(a: int) -> int:
+    def __init__(self, classes: list[int]):
+        self.classes, self.root, self.links = classes, list(range(len(classes))), []
+
+    def find(self, a: int) -> int:
+        root = self.root
         while root[a] != a:
             root[a] = a = root[root[a]]
         return a
 
-    out = []
-
-    def link(a: int, b: int) -> None:
-        x, y = find(a), find(b)
+    def link(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
         if x != y:
-            root[y] = x
-            out.append((classes[a], classes[b]))
+            self.root[y] = x
+            self.links.append((self.classes[a], self.classes[b]))
 
+
+def possible_links(classes: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sizes and sketches allow a link."""
+    out = _Forest(classes)
+    n = np.array(sizes)
+    bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    for a in range(len(classes) - 1):
+        rest = n[a + 1 :]
+        distance = np.bitwise_count(bits[a + 1 :] ^ bits[a]).sum(axis=1, dtype=np.int64)
+        ok = distance * (100 + percent) <= (n[a] + rest) * (100 - percent)
+        ok &= 100 * np.minimum(rest, n[a]) >= percent * np.maximum(rest, n[a])
+        for b in (np.flatnonzero(ok) + a + 1).tolist():
+            out.link(a, b)
+    return out.links
+
+
+def forest(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links among some sets."""
+    out = _Forest(classes)
     sizes = np.array([len(s) for s in sets])
     if len(sets) <= 12:
         for a, b in combinations(range(len(sets)), 2):
-            if 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b]) and find(a) != find(b):
+            if 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b]) and out.find(a) != out.find(b):
                 common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                 if 100 * common >= percent * (sizes[a] + sizes[b] - common):
-                    link(a, b)
-        return out
+                    out.link(a, b)
+        return out.links
     every = np.concatenate(sets)
     _, ids = np.unique(every, return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -186,37 +218,39 @@ def forest(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tup
         common = np.bincount(owners[where], minlength=len(sets))
         for b in np.flatnonzero(100 * common >= percent * (sizes + sizes[a] - common)).tolist():
             if b > a:
-                link(a, b)
-    return out
+                out.link(a, b)
+    return out.links
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of a spanning forest for each tile; members: (cluster, cls, tokens)."""
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"))
-    m = members.join(sizes, "cluster").withColumn("sides", F.ceil(F.col("g") / TILE).cast("int"))
+def _links(members: DataFrame, held: str, compare) -> DataFrame:
+    """Links (u, v) that ``compare(classes, sizes, column held)`` finds in each tile; members:
+    (cluster, cls, n, held). Any two members of a cluster share a tile."""
+    counts = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"))
+    m = members.join(counts, "cluster").withColumn("sides", F.ceil(F.col("g") / TILE).cast("int"))
     m = m.withColumn("side", F.pmod(F.hash("cls"), F.col("sides")))
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
-    m = m.select("cluster", "cls", "tokens", "side", other)
-    m = m.select(
-        F.xxhash64("cluster", F.least("side", "other"), F.greatest("side", "other")).alias("tile"), "cls", "tokens"
-    )
+    m = m.select("cluster", "cls", "n", held, "side", other)
+    tile = F.xxhash64("cluster", F.least("side", "other"), F.greatest("side", "other")).alias("tile")
+    m = m.select(tile, "cls", "n", held)
 
     def run(batches):
-        tile, classes, sets = None, [], []
+        tile, classes, sizes, values = None, [], [], []
 
         def done():
-            found = forest(classes, sets, percent) if len(classes) > 1 else []
+            found = compare(classes, sizes, values) if len(classes) > 1 else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["u", "v"]
             )
 
         for batch in batches:
-            for t, c, s in zip(*(x.to_pylist() for x in batch.columns)):
+            for t, c, n, x in zip(*(x.to_pylist() for x in batch.columns)):
                 if t != tile:
-                    yield done()
-                    tile, classes, sets = t, [], []
+                    if classes:
+                        yield done()
+                    tile, classes, sizes, values = t, [], [], []
                 classes.append(c)
-                sets.append(np.frombuffer(s, K.U))
+                sizes.append(n)
+                values.append(x)
         yield done()
 
     return m.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u bigint, v bigint")
@@ -247,10 +281,15 @@ def join_components(
     composed = pairs.join(least, "both").select(F.col("cls").alias("u"), "v")
     clusters = components(plain.unionAll(composed)).toDF("cls", "cluster")
 
-    wanted = classes.join(clusters, "cls").select(F.col("first_id").alias(id_col), "cls", "cluster")
-    wanted = materialize(wanted)
+    sketches = docs.join(clusters, "cls").dropDuplicates(["cls"]).select("cluster", "cls", F.col("n_shingles").alias("n"), "sketch")
+    possible = _links(sketches, "sketch", lambda c, n, x: possible_links(c, n, x, percent))
+    clusters = components(possible).toDF("cls", "cluster")
+
+    wanted = materialize(classes.join(clusters, "cls").select(F.col("first_id").alias(id_col), "cls", "cluster"))
     sets = _sets(df, wanted.select(id_col, "cls"), id_col, text_col, words)
-    links = _links(wanted.select("cls", "cluster").join(sets, "cls"), percent)
+    sets = wanted.select("cls", "cluster").join(sets, "cls").select("cluster", "cls", F.lit(0).alias("n"), "tokens")
+    exact = lambda c, _, x: forest(c, [np.frombuffer(t, K.U) for t in x], percent)
+    links = _links(sets, "tokens", exact)
     linked = components(links).toDF("cls", "component")
 
     named = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
