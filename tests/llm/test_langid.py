@@ -38,7 +38,7 @@ def test_query(spark):
     en = ["the cat sat on the mat", "this is the house of the man", "when will the others come back"] * 4
     de = ["die katze sitzt auf der matte", "das ist das haus von dem mann", "wann werden die anderen kommen"] * 4
     rows = [(i, t, x, "y") for i, (t, x) in enumerate([(t, "en") for t in en] + [(t, "de") for t in de])]
-    rows += [(900, None, "en", ""), (901, "", None, ""), (902, "12 %", None, ""), (903, "der mann und die katze", None, ""), (903, "where is the cat", None, "")]
+    rows += [(900, None, "en", ""), (901, "", None, ""), (902, "12 % ½", None, ""), (903, "der mann und die katze", None, ""), (903, "where is the cat", None, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     got = [(r.doc_id, r.lang_pred, r.score) for r in identify(df).collect()]
     assert len(got) == len(rows)

@@ -218,6 +218,11 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample:
     return langs, probability
 
 
+def _letters(words: list[str]) -> bool:
+    """Is there a letter? The pattern of words also takes numbers like ½."""
+    return any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)
+
+
 def predictor(langs: list[str], probability: np.ndarray, path: str):
     """A function from texts to their languages and scores."""
     own = lattice(path)
@@ -245,7 +250,7 @@ def predictor(langs: list[str], probability: np.ndarray, path: str):
             if langs:
                 learn(set().union(*found))
             for words in found:
-                if not words or not langs:
+                if not langs or not _letters(words):
                     pred.append("und")
                     score.append(0.0)
                     continue
