@@ -207,7 +207,7 @@ def _scored(df: DataFrame, id_col: str, text_col: str, models: dict[str, Model])
 
 
 def judge(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 2.5, above: float = 5.0
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 2.5, above: float = 3.0
 ) -> DataFrame:
     """``id_col``, lang, the base counts, base_failed, kept, log_perplexity and its band
     (perplexity_low, perplexity_high, as logarithms)."""
