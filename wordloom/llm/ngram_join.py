@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import kernel as K
-from wordloom.llm.common import count_rows, map_texts, materialize, without
+from wordloom.llm.common import count_rows, map_texts, materialize, slices, without
 from wordloom.llm.components import components
 
 #: A key that more sets share joins only together with another key.
@@ -123,7 +123,7 @@ def _keys(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -
 
     def run(batches):
         bands, seen = Bands(percent), set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, classes = [], []
             for tokens in K.shingle_sets(batch.column(0), words):
                 if not len(tokens) or (c := class_of(tokens)) in seen:
@@ -147,7 +147,7 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: i
     docs = df.select(id_col, text_col).join(F.broadcast(wanted) if few else wanted, id_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = K.shingle_sets(batch.column(0), words)
             same = [class_of(s) == c if len(s) else False for s, c in zip(sets, batch.column(1).to_pylist())]
             rows = [(s, c) for s, c, ok in zip(sets, batch.column(1).to_pylist(), same) if ok]
