@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import kernel as K
-from wordloom.llm.common import map_texts, materialize, texts_of
+from wordloom.llm.common import map_texts, materialize, slices, texts_of
 
 ORDER, BITS = 4, 5
 CLASSES = 1 << BITS
@@ -76,7 +76,7 @@ def _counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             by_lang: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 by_lang.setdefault(lang, []).append(codes(text))
