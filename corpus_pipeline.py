@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 that a stage drops are gone for those after it:
 
 * language: documents whose language is not found (no letters, or no language clearly best);
-* near_copies: of documents linked by similar four-word shingles the one with the least id stays;
+* near_copies: of documents linked by five-word shingles of similarity 0.8 and more the one with the
+  least id stays;
 * decontamination: documents into which a benchmark item leaks;
 * personal_data: no document; personal data in texts is replaced by its kind, in brackets;
 * encoding: no document; returns the piece ids of each text, and whether they decode to it.
@@ -29,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_first(docs)
+    return keep_first(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,11 @@ def test_empty(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_by_five_words(spark):
+    """79 of 96 five-word shingles are shared (0.82), of four words 80 of 97 (under 0.85)."""
+    words = [f"w{i}" for i in range(100)]
+    docs = [(0, " ".join(words)), (1, " ".join(words[:83])), (2, " ".join(words[:70]))]
+    out = corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id for r in out.collect()} == {0}
