@@ -42,16 +42,20 @@ _DIGIT = re.compile("[0-9]")
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")
 _NUMBER = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\)[\x20-]?|[0-9]{3}[\x20.-])?[0-9]{3}[.-][0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9-])")
-_TITLED = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora?|Doña?)\.? (?:[A-Z]\w+[ '-]?){1,3}")
+_TITLES = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora?|Doña?)\.? "
+_TITLED = re.compile(rf"\b{_TITLES}(?:[A-Z]\w+[ '-]?){{1,3}}")
+# How each match of _TITLED starts; searched faster, as it begins with letters.
+_TITLE = re.compile(rf"{_TITLES}[A-Z]")
 
 # The gazetteers.
-TITLES = ("Mr", "Mrs", "Ms.", "Dr", "Prof", "Herr", "Frau", "Madame", "Monsieur", "Señor", "Don")
 FIRST_NAMES = frozenset(
     "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica"
     " Thomas Sarah Charles Karen Daniel Lisa Matthew Nancy Anthony Sandra Steven Ashley Andrew Emily Peter Anna Paul Laura"
     " Hans Klaus Jürgen Wolfgang Ursula Monika Sabine Heike Pierre Jean Michel Marie Nathalie Isabelle José Juan Carlos Luis"
     " Carmen Ana María Antonio Francisco Javier".split()
 )
+_NAMED = re.compile(rf"(?:{'|'.join(sorted(FIRST_NAMES))})(?= ([A-Z]\w+))")
+_IN_WORD = re.compile(r"\w")
 PREFIXES = ("AKIA", "ghp_", "gho_", "sk-", "sk_", "pk_", "xox", "eyJ", "AIza", "glpat-")
 COUNTRIES = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
 CONTEXT = {
@@ -106,10 +110,15 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
                 found.append(("secret", *m.span()))
         found += [("number", *m.span()) for m in _NUMBER.finditer(text)]
         found += [("account", *m.span()) for m in _ACCOUNT.finditer(text)]
-    if any(t in text for t in TITLES):
-        found += [("person", m.start(), m.start() + len(m[0].rstrip(" '-"))) for m in _TITLED.finditer(text)]
-    for name in FIRST_NAMES.intersection(text.split()):
-        found += [("person", *m.span()) for m in re.finditer(rf"(?<!\w){name} [A-Z]\w+", text)]
+    at = 0
+    while title := _TITLE.search(text, at):
+        at = title.start() + 1
+        if m := _TITLED.match(text, title.start()):
+            found.append(("person", m.start(), m.start() + len(m[0].rstrip(" '-"))))
+            at = m.end()
+    for m in _NAMED.finditer(text):
+        if not (m.start() and _IN_WORD.match(text, m.start() - 1)):
+            found.append(("person", m.start(), m.end(1)))
     out, end = [], 0
     taken = sorted(base, key=lambda s: s[1])
     for kind, s, e in sorted(set(found), key=lambda c: (c[1], -c[2], KINDS.index(c[0]))):
