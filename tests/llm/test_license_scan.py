@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -51,3 +52,33 @@ def test_query(spark):
     want = Counter((i, n) for i, t, _ in rows for n in brute(t or ""))
     assert got == want
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_across_line_ends():
+    text = "This library was written at Foo in 2020 and is released under the\nMIT license. See the file for more."
+    ((name, score, a, b),) = scanner(TEMPLATES, 0.8).scan(text)
+    assert (name, score, text[a:b]) == ("MIT", 1.0, "released under the\nMIT license")
+
+
+def test_against_all_word_windows():
+    """Licences that no stretch of lines has are those of all stretches of words."""
+    norm = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w: Counter(zip(w, w[1:]))
+    r = random.Random(8)
+    for _ in range(60):
+        words = norm(" ".join(t for _, t in r.sample(TEMPLATES, 2) if len(t) < 120))
+        words = [w for w in words if r.random() < 0.95]
+        for _ in range(r.randint(0, 4)):
+            words.insert(r.randint(0, len(words)), r.choice(["foo", "the", "under"]))
+        want = {}
+        for name, template in TEMPLATES:
+            own = grams(norm(template))
+            for a in range(len(words)):
+                for b in range(a + 2, min(len(words), a + 2 + 2 * own.total()) + 1):
+                    g = grams(words[a:b])
+                    x = 2 * (g & own).total() / (g.total() + own.total())
+                    if x >= 0.8:
+                        want[name] = max(x, want.get(name, 0))
+        text = "".join(w + r.choice([" ", " ", "\n", ". "]) for w in words)
+        got = scanner(TEMPLATES, 0.8).scan(text)
+        assert {name: score for name, score, _, _ in got} == pytest.approx(want | brute(text)), text

@@ -2,11 +2,12 @@
 
 A template is the normalised text of a licence or notice. What is compared with it are the
 stretches of a document that start at a line and end at one: single lines, and for templates of
-more words as many whole lines as reach its size; and within lines of many more words, stretches
-of the template's size that start at one of its bigrams. Dice of at least ``least`` needs a stretch of
-between least / (2 - least) times the template's bigrams and the inverse of that; these bounds
-choose the templates that a stretch is compared with, and a stretch must share a bigram with one
-at all. The best template of each licence is reported with its place.
+more words as many whole lines as reach its size. A licence that none of these has is looked for in
+all stretches of words, across line ends. Dice of at least ``least`` needs a stretch of between
+least / (2 - least) times the template's bigrams and the inverse of that, with as many of them in
+common as the lower bound. The best stretch of words starts and ends with a bigram of the template,
+so only these are tried, from where enough of its bigrams follow. The best template of each
+licence is reported with its place.
 
 Defined results: null and empty texts have no licence. Templates under three words would be found
 by chance and are refused. Rows that repeat give the same rows. Other columns are not read.
@@ -14,9 +15,11 @@ by chance and are refused. Rows that repeat give the same rows. Other columns ar
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -103,8 +106,8 @@ class Scanner:
         # A stretch that shares a bigram holds its two words side by side, but for other marks.
         both = "|".join(sorted(rf"{a}[\W_]+{b}" for a, b in pairs))
         self.any_pair = re.compile(rf"(?<![^\W_])(?:{both})(?![^\W_])")
-        self.low = [n * least / (2 - least) for _, _, n in self.templates]
-        self.high = [n * (2 - least) / least for _, _, n in self.templates]
+        self.low = [n * least / (2 - least) - 1e-9 for _, _, n in self.templates]
+        self.high = [n * (2 - least) / least + 1e-9 for _, _, n in self.templates]
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, dice, start, end): the best stretch for each licence that reaches ``least``."""
@@ -120,13 +123,15 @@ class Scanner:
         lines = [WORD.findall(low[a:b]) for a, b in bounds]
         sizes = [len(w) for w in lines]
         best: dict[str, tuple[float, int, int]] = {}
-        shared = [{i for p in zip(w, w[1:]) for i in self.of_pair.get(p, ())} for w in lines]
+        shared, after = [], []  # bigrams that start in a line, and the next word after it
+        for w in reversed(lines):
+            shared.append({i for p in zip(w, w[1:] + after) for i in self.of_pair.get(p, ())})
+            after = w[:1] or after
+        shared.reverse()
         for first, of_first in enumerate(shared):
             for t in of_first:
                 name, grams, _ = self.templates[t]
                 words: list[str] = []
-                if sizes[first] - 1 > self.high[t]:
-                    self._inside(low, bounds[first], lines[first], t, best)
                 for last in range(first, len(lines)):
                     words = words + lines[last]
                     n = len(words) - 1
@@ -136,18 +141,38 @@ class Scanner:
                         score = dice(bigrams(words), grams)
                         if score >= self.least and score > best.get(name, (0.0, 0, 0))[0]:
                             best[name] = (score, bounds[first][0], bounds[last][1])
+        self._windows(low, [w for line in lines for w in line], best)
         return sorted((name, *found) for name, found in best.items())
 
-    def _inside(self, low: str, bound: tuple[int, int], words: list[str], t: int, best: dict) -> None:
-        """Stretches of as many words as the template that start at one of its bigrams, in a line
-        of many more words."""
-        name, grams, n = self.templates[t]
-        places = [m.span() for m in WORD.finditer(low, *bound)]
-        for i in (i for i, p in enumerate(zip(words, words[1:])) if p in grams):
-            part = words[i : i + n + 1]
-            score = dice(bigrams(part), grams)
-            if score >= self.least and score > best.get(name, (0.0, 0, 0))[0]:
-                best[name] = (score, places[i][0], places[i + len(part) - 1][1])
+    def _windows(self, low: str, words: list[str], best: dict[str, tuple[float, int, int]]) -> None:
+        """Adds the best stretches of words of the licences that no stretch of lines has."""
+        hits: dict[int, list[int]] = {}
+        for i, p in enumerate(zip(words, words[1:])):
+            for t in self.of_pair.get(p, ()):
+                if self.templates[t][0] not in best:
+                    hits.setdefault(t, []).append(i)
+        found: dict[str, tuple[float, int, int]] = {}
+        for t, places in sorted(hits.items()):
+            name, grams, n = self.templates[t]
+            need = math.ceil(self.low[t])
+            for first, last in zip(range(len(places)), places[need - 1 :]):
+                start = places[first]
+                if last - start + 1 > self.high[t]:
+                    continue
+                common, seen = 0, Counter()
+                for i in islice(places, first, None):
+                    size = i - start + 1
+                    if size > self.high[t]:
+                        break
+                    pair = (words[i], words[i + 1])
+                    seen[pair] += 1
+                    common += seen[pair] <= grams[pair]
+                    score = 2 * common / (size + n)
+                    if score >= self.least and score > found.get(name, (0.0, 0, 0))[0]:
+                        found[name] = (score, start, i + 1)
+        if found:
+            spans = [m.span() for m in WORD.finditer(low)]
+            best.update((name, (score, spans[a][0], spans[b][1])) for name, (score, a, b) in found.items())
 
 
 @lru_cache(maxsize=2)
