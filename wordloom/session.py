@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,19 +12,69 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, as in tests, one of our own."""
+    """spark.checkpoint.dir of the session. Where it is unset a folder of our own is set, on a
+    local master only: on a cluster each machine would have another one."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/wordloom-{uuid.uuid4().hex}"
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[.*\])?", master):
+                raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+            folder = f"/tmp/wordloom-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(folder)
     return context.getCheckpointDir().get().rstrip("/")
 
 
+#: Folders made by `materialize` within each `tidy` operator that runs.
+_made: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet and read it again: lineage is cut and executors may be lost."""
-    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet and read it again: lineage is cut and executors may be lost. Unlike
+    a checkpoint of an RDD it keeps columns compressed and gives the planner a true size."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    if _made:
+        _made[-1].append(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._table_folder = folder
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table made by `materialize` that nothing reads any more."""
+    _delete(table.sparkSession, table._table_folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator, with its result written as a table and all tables that it made on the way
+    deleted. A failed run's tables are deleted too."""
+
+    @functools.wraps(operator)
+    def run(*args, **options) -> DataFrame:
+        _made.append([])
+        out = None
+        try:
+            out = materialize(operator(*args, **options))
+        finally:
+            kept = out._table_folder if out is not None else None
+            spark = SparkSession.getActiveSession()
+            for folder in _made.pop():
+                if folder == kept:
+                    if _made:
+                        _made[-1].append(folder)
+                elif spark is not None:
+                    _delete(spark, folder)
+        return out
+
+    return run
 
 
 _kept: dict[tuple, DataFrame] = {}
