@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.session import discard, materialize, shared_folder, tidy  # noqa: F401  (operators take them from here)
+
 
 def map_texts(
     df: DataFrame,
@@ -78,34 +80,8 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one that the cluster shares (spark.checkpoint.dir).
-
-    The setting is read from the session; where it is unset, as in tests, a folder of our own
-    is set first.
-    """
-    return f"{checkpoint_dir(spark).rstrip('/')}/work-{uuid.uuid4().hex}"
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    set_dir = context._jsc.sc().getCheckpointDir()
-    if set_dir.isDefined():
-        return set_dir.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"/tmp/wordloom-checkpoints-{uuid.uuid4().hex}"
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage is cut, and the rows
-    survive the loss of executors. Unlike an RDD checkpoint it keeps columnar compression and
-    gives the planner a true size."""
-    spark = df.sparkSession
-    folder = work_folder(spark)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    """A fresh folder below the one that the cluster shares."""
+    return f"{shared_folder(spark)}/work-{uuid.uuid4().hex}"
 
 
 def count_rows(df: DataFrame) -> int:
