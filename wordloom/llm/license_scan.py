@@ -1,183 +1,193 @@
 """License scans by the Dice coefficient over word bigrams.
 
-A template is the normalised text of a licence or notice. What is compared with it are the
-stretches of a document that start at a line and end at one: single lines, and for templates of
-more words as many whole lines as reach its size. A licence that none of these has is looked for in
-all stretches of words, across line ends. Dice of at least ``least`` needs a stretch of between
-least / (2 - least) times the template's bigrams and the inverse of that, with as many of them in
-common as the lower bound. The best stretch of words starts and ends with a bigram of the template,
-so only these are tried, from where enough of its bigrams follow. The best template of each
-licence is reported with its place.
+A template is the normalised text of a licence or of a notice. It is compared with stretches of a
+document's words. A stretch is a match if the Dice coefficient of its bigrams and the template's,
+both as multisets, is at least ``least``; its size is then between least / (2 - least) times the
+template's and the inverse of that, and a third of the template's bigrams (at ``least`` 0.8) may be
+missing at most: templates of which too few bigrams occur in a text are not tried.
+
+A match's evidence is what it has in common beyond that: 2 * common - least * (both sizes). The
+stretch of most evidence is found from running sums, in which a bigram counts if the template has
+it; then its common bigrams are counted exactly. Where a bigram occurs more often than in the
+template this may put a stretch off, so the sums are also tried with only as many of each bigram
+as a stretch of the largest size may count, and short templates on all stretches.
+
+Of matches that overlap, of whatever templates, the one of most evidence stands: a notice of one
+licence is no notice of a similar one, and a licence text no part of another. The best match of
+each licence is reported.
 
 Defined results: null and empty texts have no licence. Templates under three words would be found
-by chance and are refused. Rows that repeat give the same rows. Other columns are not read.
+by chance and are refused. Ties go to the template that stands first. Rows that repeat give the
+same rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
 from functools import lru_cache
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wordloom.llm.common import map_texts, texts_of
+from wordloom.llm.licence_texts import templates as known_templates
 
-# Short notices of common licences, and the openings of their texts.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT license."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
-        " documentation files (the Software), to deal in the Software without restriction, including without limitation"
-        " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,"
-        " and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    (
-        "Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance"
-        " with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
-        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your"
-        " option) any later version.",
-    ),
-    (
-        "GPL-2.0",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General"
-        " Public License as published by the Free Software Foundation; either version 2 of the License, or (at your"
-        " option) any later version.",
-    ),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
-        " the following conditions are met:",
-    ),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
-        " granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("Proprietary", "All rights reserved."),
-)
 WORD = re.compile(r"[^\W_]+")
+#: Templates of so many bigrams at most are tried on all stretches where running sums fail.
+SHORT = 200
 
 
-def bigrams(words: list[str]) -> Counter:
-    return Counter(zip(words, words[1:]))
+class _Numbers(dict):
+    """Words by number; others are -1."""
 
-
-def dice(a: Counter, b: Counter) -> float:
-    n = a.total() + b.total()
-    return 2 * (a & b).total() / n if n else 0.0
+    def __missing__(self, word: str) -> int:
+        return -1
 
 
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...], least: float):
         self.least = least
-        self.templates = []
-        for name, text in templates:
-            words = WORD.findall(text.lower())
+        texts = [WORD.findall(text.lower()) for _, text in templates]
+        for (_, text), words in zip(templates, texts):
             if len(words) < 3:
                 raise ValueError(f"a template of under three words: {text!r}")
-            self.templates.append((name, bigrams(words), len(words) - 1))
-        pairs = {p for _, grams, _ in self.templates for p in grams}
-        self.of_pair = {p: [i for i, t in enumerate(self.templates) if p in t[1]] for p in pairs}
-        # A stretch that shares a bigram holds its two words side by side, but for other marks.
-        both = "|".join(sorted(rf"{a}[\W_]+{b}" for a, b in pairs))
-        self.any_pair = re.compile(rf"(?<![^\W_])(?:{both})(?![^\W_])")
-        self.low = [n * least / (2 - least) - 1e-9 for _, _, n in self.templates]
-        self.high = [n * (2 - least) / least + 1e-9 for _, _, n in self.templates]
+        self.names = [name for name, _ in templates]
+        self.sizes = [len(words) - 1 for words in texts]
+        self.words = _Numbers((w, i) for i, w in enumerate(sorted({w for words in texts for w in words})))
+        grams = [Counter(self._pairs(np.array([self.words[w] for w in words], np.int64)).tolist()) for words in texts]
+        self.pairs = np.array(sorted({p for g in grams for p in g}), np.int64)
+        number = {p: i for i, p in enumerate(self.pairs.tolist())}
+        self.grams = [{number[p]: c for p, c in g.items()} for g in grams]
+        rows = sorted((p, t) for t, g in enumerate(self.grams) for p in g)
+        self.of_pair = np.array([t for _, t in rows], np.int64)  # templates, pair by pair
+        self.begin = np.searchsorted([p for p, _ in rows], np.arange(len(self.pairs) + 1))
+        self.low = [math.ceil(n * least / (2 - least) - 1e-9) for n in self.sizes]
+        self.high = [math.floor(n * (2 - least) / least + 1e-9) for n in self.sizes]
+
+    def _pairs(self, words: np.ndarray) -> np.ndarray:
+        """A number for each bigram of known words, -1 for others."""
+        pairs = words[:-1] * len(self.words) + words[1:]
+        pairs[(words[:-1] < 0) | (words[1:] < 0)] = -1
+        return pairs
+
+    def common(self, t: int, pairs: np.ndarray) -> int:
+        """Bigrams that template and stretch have in common."""
+        found, n = np.unique(pairs[pairs >= 0], return_counts=True)
+        own = self.grams[t]
+        return sum(min(c, own.get(p, 0)) for p, c in zip(found.tolist(), n.tolist()))
+
+    def evidence(self, t: int, pairs: np.ndarray) -> float:
+        return 2 * self.common(t, pairs) - self.least * (len(pairs) + self.sizes[t])
+
+    def _crowded(self, t: int, pairs: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """The hits that any stretch of the largest size which ends there may count."""
+        out, seen = hits.copy(), {}
+        for i in np.flatnonzero(hits).tolist():
+            places = seen.setdefault(int(pairs[i]), [])
+            n = self.grams[t][int(pairs[i])]
+            out[i] = len(places) < n or places[-n] <= i - self.high[t]
+            places.append(i)
+        return out
+
+    def _best(self, t: int, pairs: np.ndarray, lo: int, hi: int) -> tuple[float, int, int] | None:
+        """Evidence, first bigram and end of the best stretch found within lo to hi."""
+        own = pairs[lo:hi]
+        own_hits = np.isin(own, np.fromiter(self.grams[t], np.int64, len(self.grams[t])))
+        enough = self.least * self.sizes[t] - 1e-9
+        best = None
+        for hits in (own_hits, None):
+            if hits is None:
+                hits = self._crowded(t, own, own_hits)
+                if (hits == own_hits).all():
+                    break  # what was found is the best
+                if self.sizes[t] <= SHORT:
+                    return self._any(t, own, own_hits, lo) if self.common(t, own) >= self.low[t] else None
+            sums = np.r_[0.0, np.cumsum(2.0 * hits - self.least)]
+            least = np.minimum.accumulate(sums)
+            end = int(np.argmax(sums - least))
+            if sums[end] - least[end] < enough:
+                break  # no stretch can do
+            start = int(np.flatnonzero(sums[: end + 1] == least[end])[-1])
+            found = self.evidence(t, own[start:end])
+            if found >= -1e-9 and (best is None or found > best[0]):
+                best = (found, lo + start, lo + end)
+        return best
+
+    def _any(self, t: int, own: np.ndarray, hits: np.ndarray, lo: int) -> tuple[float, int, int] | None:
+        """The best of all stretches that start and end with a bigram of the template."""
+        best, places = None, np.flatnonzero(hits).tolist()
+        for k, start in enumerate(places):
+            seen, common = Counter(), 0
+            for i in places[k:]:
+                if i - start + 1 > self.high[t]:
+                    break
+                p = int(own[i])
+                seen[p] += 1
+                common += seen[p] <= self.grams[t][p]
+                found = 2 * common - self.least * (i - start + 1 + self.sizes[t])
+                if found >= -1e-9 and (best is None or found > best[0]):
+                    best = (found, lo + start, lo + i + 1)
+        return best
+
+    def matches(self, words: list[str]) -> list[tuple[float, int, int, int]]:
+        """(evidence, template, first word, last word) of matches that don't overlap."""
+        pairs = self._pairs(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+        where = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        pairs = np.where(self.pairs[where] == pairs, where, -1)
+        hit = pairs[pairs >= 0]
+        if len(hit) < min(self.low):
+            return []
+        n = self.begin[hit + 1] - self.begin[hit]
+        at = np.repeat(self.begin[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        counts = np.bincount(self.of_pair[at], minlength=len(self.names))
+        queue: list[tuple[float, int, int, int, int, int]] = []
+        out: list[tuple[float, int, int, int]] = []
+
+        def look(t: int, lo: int, hi: int) -> None:
+            if hi - lo >= self.low[t] and (x := self._best(t, pairs, lo, hi)):
+                heapq.heappush(queue, (-x[0], t, x[1], x[2], lo, hi))
+
+        for t in np.flatnonzero(counts >= self.low).tolist():
+            look(t, 0, len(pairs))
+        while queue:
+            e, t, a, b, lo, hi = heapq.heappop(queue)
+            # A match is from word a to b; what is taken already divides the place it was found in.
+            taken = sorted((c, d) for _, _, c, d in out if lo <= d and c <= hi)
+            if all(b < c or d < a for c, d in taken):
+                out.append((-e, t, a, b))
+                taken = [(a, b)]
+            for c, d in taken:
+                look(t, lo, c - 1)
+                lo = d + 1
+            look(t, lo, hi)
+        return out
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(licence, dice, start, end): the best stretch for each licence that reaches ``least``."""
+        """(licence, dice, start, end): the best match of each licence."""
         low = text.lower()
         if len(low) != len(text):  # some letters change their length
             low = "".join(c if len(c) == 1 else x for c, x in ((x.lower(), x) for x in text))
-        if self.any_pair.search(low) is None:
+        words = WORD.findall(low)
+        if len(words) < 3:
             return []
-        bounds, at = [], 0
-        for line in low.split("\n"):
-            bounds.append((at, at + len(line)))
-            at += len(line) + 1
-        lines = [WORD.findall(low[a:b]) for a, b in bounds]
-        sizes = [len(w) for w in lines]
         best: dict[str, tuple[float, int, int]] = {}
-        shared, after = [], []  # bigrams that start in a line, and the next word after it
-        for w in reversed(lines):
-            shared.append({i for p in zip(w, w[1:] + after) for i in self.of_pair.get(p, ())})
-            after = w[:1] or after
-        shared.reverse()
-        for first, of_first in enumerate(shared):
-            for t in of_first:
-                name, grams, _ = self.templates[t]
-                words: list[str] = []
-                for last in range(first, len(lines)):
-                    words = words + lines[last]
-                    n = len(words) - 1
-                    if n > self.high[t]:
-                        break
-                    if n >= self.low[t] and sizes[last]:
-                        score = dice(bigrams(words), grams)
-                        if score >= self.least and score > best.get(name, (0.0, 0, 0))[0]:
-                            best[name] = (score, bounds[first][0], bounds[last][1])
-        self._windows(low, [w for line in lines for w in line], best)
-        return sorted((name, *found) for name, found in best.items())
-
-    def _windows(self, low: str, words: list[str], best: dict[str, tuple[float, int, int]]) -> None:
-        """Adds the best stretches of words of the licences that no stretch of lines has."""
-        hits: dict[int, list[int]] = {}
-        for i, p in enumerate(zip(words, words[1:])):
-            for t in self.of_pair.get(p, ()):
-                if self.templates[t][0] not in best:
-                    hits.setdefault(t, []).append(i)
-        found: dict[str, tuple[float, int, int]] = {}
-        for t, places in sorted(hits.items()):
-            name, grams, n = self.templates[t]
-            need = math.ceil(self.low[t])
-            for first, last in zip(range(len(places)), places[need - 1 :]):
-                start = places[first]
-                if last - start + 1 > self.high[t]:
-                    continue
-                common, seen = 0, Counter()
-                for i in islice(places, first, None):
-                    size = i - start + 1
-                    if size > self.high[t]:
-                        break
-                    pair = (words[i], words[i + 1])
-                    seen[pair] += 1
-                    common += seen[pair] <= grams[pair]
-                    score = 2 * common / (size + n)
-                    if score >= self.least and score > found.get(name, (0.0, 0, 0))[0]:
-                        found[name] = (score, start, i + 1)
-        if found:
-            spans = [m.span() for m in WORD.finditer(low)]
-            best.update((name, (score, spans[a][0], spans[b][1])) for name, (score, a, b) in found.items())
+        for e, t, a, b in self.matches(words):
+            if self.names[t] not in best:
+                n = b - a + self.sizes[t]
+                best[self.names[t]] = ((e + self.least * n) / n, a, b)
+        if not best:
+            return []
+        spans = [m.span() for m in WORD.finditer(low)]
+        return sorted((name, dice, spans[a][0], spans[b][1]) for name, (dice, a, b) in best.items())
 
 
 @lru_cache(maxsize=2)
-def scanner(templates: tuple[tuple[str, str], ...], least: float) -> Scanner:
-    return Scanner(templates, least)
+def scanner(templates: tuple[tuple[str, str], ...] | None, least: float) -> Scanner:
+    return Scanner(templates or known_templates(), least)
 
 
 def scan_licenses(
@@ -185,10 +195,10 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
     least: float = 0.8,
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    templates: tuple[tuple[str, str], ...] | None = None,
 ) -> DataFrame:
     """``id_col``, license, dice, start, end (code points): one row for each document and licence
-    found; documents without one have no row."""
+    found; documents without one have no row. Without ``templates`` those of `licence_texts`."""
 
     def make():
         own = scanner(templates, least)
