@@ -43,7 +43,7 @@ def test_edges(spark):
 
 def test_near_copies_that_crowd(spark, monkeypatch):
     monkeypatch.setattr(N, "OFTEN", 3)
-    monkeypatch.setattr(N, "TILE", 16)
+    monkeypatch.setattr(N, "TILE", 2_000)
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, common = [], r.choices(vocabulary, k=12)

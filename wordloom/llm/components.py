@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import materialize
+from wordloom.llm.common import discard, materialize
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with m, the least of u and its neighbours. Partial sums first, then a join
-    that Spark can split where one node has very many edges."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").withColumn("m", F.least("m", "u"))
+def _least_neighbour(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) of a table with m, the least of u and its neighbours; and the table of these.
+    Partial sums come first. They are written, so that the join has a stage of its own, which
+    Spark can split where one node has very many edges."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return edges.join(least, "u").withColumn("m", F.least("m", "u")), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,10 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        seen = _least_neighbour(large)
+        large, first = _least_neighbour(both)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u <> v").distinct())
+        seen, second = _least_neighbour(large)
         small = seen.select("u", "m").unionAll(seen.select("v", "m")).toDF("u", "v").where("u <> v")
-        now = materialize(small.distinct())
+        after = materialize(small.distinct())
+        for table in (now, first, large, second):
+            discard(table)
+        now = after
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(nodes.select("component", "component").distinct())

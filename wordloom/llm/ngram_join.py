@@ -5,15 +5,17 @@ so the Hamming distance of two sketches is at most the symmetric difference of t
 sketch is cut into blocks; a block is kept as the XOR of random numbers of its set bits. Two sets
 of a size band that may link differ in at most d tokens, so with d + 1 + e blocks at least e + 1
 are equal: pairs that can link meet in a join on (band, block, value). Blocks without a set bit
-say little, so they join as subsets of e at a time, and values that very many sets share join
-only together with a second one. Nothing that can link is lost by either: e + 1 equal blocks
-always give two equal keys.
+say little, so they join as subsets of e at a time. Values that very many sets share join only
+two at a time, and only two of the same of about e / 2 groups of values, for e + 1 equal blocks
+put two into one group. (Sets with many blocks without a bit, which have fewer values in common,
+join two of any.) Nothing that can link is lost by this.
 
 Sets that meet are gathered into clusters, without any pairs; clusters are dealt out as tiles of
 bounded size. In a first round tiles hold short parity sketches, and sets stay together only by
 sketches whose distance doesn't rule a link out. In a second round tiles hold the sets of what is
-left of the clusters, and the intersections are counted exactly. A tile returns a spanning forest
-of its links, from which the components follow.
+left of the clusters, and intersections are counted exactly, each set against those that it is not
+joined with yet: of copies of one text all but the first find themselves joined. A tile returns a
+spanning forest of its links, from which the components follow.
 
 Equal sets are one class, found first. Classes are 64-bit hashes of whole sets.
 
@@ -28,17 +30,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import kernel as K
-from wordloom.llm.common import count_rows, map_texts, materialize, slices, without
+from wordloom.llm.common import count_rows, discard, map_texts, materialize, slices, tidy, without
 from wordloom.llm.components import components
 
 #: A key that more sets share joins only together with another key.
 OFTEN = 32
-#: Sets in one side of a tile.
-TILE = 256
+#: Bytes of sketches or sets in one side of a tile, or one set that is larger.
+TILE = 8_000_000
+#: Bits of a key that say its band, and the bit above them of keys that join with any other.
+BAND, ANY = 64, 64
 #: Bits of the sketches that are compared one to one.
 SKETCH = 1024
 #: Most ids (8 bytes each) that are sent to each executor; more are joined by a shuffle.
@@ -68,9 +72,16 @@ class Bands:
                 out.append((band, differ + 1 + spare, spare))
         return out
 
+    def groups(self, band: int) -> int:
+        """In how many groups the frequent keys of a band are: two sets with at most ``spare`` less
+        this many common blocks without a bit have one common key more."""
+        low = self.edges[band]
+        spare = next((spare for b, _, spare in self.of(low) if b == band), 1)
+        return max(1, (spare + 1) // 2)
+
 
 def keys_of(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """The join keys of a set."""
+    """The join keys of a set: hashes with the band in the lowest bits."""
     out = []
     for band, blocks, spare in bands.of(len(tokens)):
         block = (K.mix(tokens, band + 1) >> K.U(20)) % K.U(blocks)
@@ -78,16 +89,29 @@ def keys_of(tokens: np.ndarray, bands: Bands) -> np.ndarray:
         sorted_blocks = block[order]
         first = np.flatnonzero(np.r_[True, sorted_blocks[1:] != sorted_blocks[:-1]])
         value = np.bitwise_xor.reduceat(K.mix(tokens, 1_000 + band)[order], first)
-        out.append(K.mix(value ^ K.mix(sorted_blocks[first], 2_000 + band), 3))
+        keys = [K.mix(value ^ K.mix(sorted_blocks[first], 2_000 + band), 3)]
         bare = sorted(set(range(blocks)) - set(sorted_blocks[first].tolist()))
         for subset in combinations(bare, spare):
             k = K.mix(np.array([band], K.U), 4)
             for b in subset:
                 k = K.mix(k ^ K.U(b), 5)
-            out.append(k)
+            keys.append(k)
+        own = np.concatenate(keys) & ~K.U(BAND + ANY - 1) | K.U(band)
+        out.append(own)
+        if bands.groups(band) > 1 and len(bare) > spare - bands.groups(band):
+            out.append(own | K.U(ANY))
     return np.concatenate(out) if out else np.zeros(0, K.U)
 
 
+def group_of(key: Column, bands: Bands) -> Column:
+    """A frequent key joins with others of its group only."""
+    bands.of(1 << 40)
+    groups = F.array(*(F.lit(bands.groups(b)) for b in range(min(BAND, len(bands.edges) - 1))))
+    band = key.bitwiseAND(F.lit(BAND - 1))
+    of = F.when(key.bitwiseAND(F.lit(ANY)) == 0, F.get(groups, band.cast("int"))).otherwise(F.lit(1))
+    return F.xxhash64(key.bitwiseAND(F.lit(BAND + ANY - 1)), F.pmod(F.shiftright(key, 7), of))
+
+
 def sketch_of(tokens: np.ndarray) -> bytes:
     """The parity sketch in SKETCH bits."""
     bits = np.bincount((K.mix(tokens, 6) >> K.U(30)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
@@ -119,7 +143,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame
 
 
 def _keys(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """(key, cls); a set that repeats within a task is written once."""
+    """(key, cls, first, crowd); a set that repeats within a task is written once. Of a batch's
+    rows with the same key one is ``first``, and ``crowd`` if there are others."""
 
     def run(batches):
         bands, seen = Bands(percent), set()
@@ -134,11 +159,24 @@ def _keys(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -
                 keys.append(keys_of(tokens, bands))
                 classes.append(np.full(len(keys[-1]), c, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(classes))], ["key", "cls"]
-                )
-
-    return df.select(text_col).mapInArrow(run, "key bigint, cls bigint")
+                key = np.concatenate(keys).view(np.int64)
+                _, at, n = np.unique(key, return_index=True, return_counts=True)
+                first, crowd = np.zeros(len(key), bool), np.zeros(len(key), bool)
+                first[at], crowd[at] = True, n > 1
+                columns = [pa.array(x) for x in (key, np.concatenate(classes), first, crowd)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "cls", "first", "crowd"])
+
+    return df.select(text_col).mapInArrow(run, "key bigint, cls bigint, first boolean, crowd boolean")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, cls) of the keys that two or more classes have. Only a batch's first row of a key
+    is dealt by key, so no task gets all rows of a key that very many sets have."""
+    dealt = F.when(F.col("first"), F.col("key")).otherwise(F.xxhash64("key", "cls"))
+    by_key = Window.partitionBy("dealt", "first")
+    rows = rows.withColumn("dealt", dealt).repartition("dealt")
+    rows = rows.withColumn("least", F.min("cls").over(by_key)).withColumn("most", F.max("cls").over(by_key))
+    return rows.where("not first or crowd or least <> most").select("key", "cls")
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -163,19 +201,18 @@ class _Forest:
     """A spanning forest of the links that are told to it."""
 
     def __init__(self, classes: list[int]):
-        self.classes, self.root, self.links = classes, list(range(len(classes))), []
+        self.classes, self.links = classes, []
+        self.tree = np.arange(len(classes))
 
-    def find(self, a: int) -> int:
-        root = self.root
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        return a
+    def apart(self, a: int) -> np.ndarray:
+        """Those after ``a`` that are in another tree."""
+        return np.flatnonzero(self.tree[a + 1 :] != self.tree[a]) + a + 1
 
-    def link(self, a: int, b: int) -> None:
-        x, y = self.find(a), self.find(b)
-        if x != y:
-            self.root[y] = x
-            self.links.append((self.classes[a], self.classes[b]))
+    def link(self, a: int, others: np.ndarray) -> None:
+        for b in others.tolist():
+            if self.tree[a] != self.tree[b]:
+                self.tree[self.tree == self.tree[b]] = self.tree[a]
+                self.links.append((self.classes[a], self.classes[b]))
 
 
 def possible_links(classes: list[int], sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
@@ -184,12 +221,11 @@ def possible_links(classes: list[int], sizes: list[int], sketches: list[bytes],
     n = np.array(sizes)
     bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
     for a in range(len(classes) - 1):
-        rest = n[a + 1 :]
-        distance = np.bitwise_count(bits[a + 1 :] ^ bits[a]).sum(axis=1, dtype=np.int64)
-        ok = distance * (100 + percent) <= (n[a] + rest) * (100 - percent)
-        ok &= 100 * np.minimum(rest, n[a]) >= percent * np.maximum(rest, n[a])
-        for b in (np.flatnonzero(ok) + a + 1).tolist():
-            out.link(a, b)
+        others = out.apart(a)
+        others = others[100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a])]
+        if len(others):
+            distance = np.bitwise_count(bits[others] ^ bits[a]).sum(axis=1, dtype=np.int64)
+            out.link(a, others[distance * (100 + percent) <= (n[a] + n[others]) * (100 - percent)])
     return out.links
 
 
@@ -197,36 +233,30 @@ def forest(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tup
     """A spanning forest of the exact links among some sets."""
     out = _Forest(classes)
     sizes = np.array([len(s) for s in sets])
-    if len(sets) <= 12:
-        for a, b in combinations(range(len(sets)), 2):
-            if 100 * min(sizes[a], sizes[b]) >= percent * max(sizes[a], sizes[b]) and out.find(a) != out.find(b):
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if 100 * common >= percent * (sizes[a] + sizes[b] - common):
-                    out.link(a, b)
-        return out.links
-    every = np.concatenate(sets)
-    _, ids = np.unique(every, return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(ids, kind="stable")
-    begin = np.searchsorted(ids[order], np.arange(ids.max() + 2))
-    owners = owner[order]  # of each token, in the order of sets
     at = np.r_[0, np.cumsum(sizes)]
-    for a in range(len(sets)):
-        tokens = ids[at[a] : at[a + 1]]
-        lo, n = begin[tokens], begin[tokens + 1] - begin[tokens]
-        where = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        common = np.bincount(owners[where], minlength=len(sets))
-        for b in np.flatnonzero(100 * common >= percent * (sizes + sizes[a] - common)).tolist():
-            if b > a:
-                out.link(a, b)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(ids.max() + 1, np.int32)
+    for a in range(len(sets) - 1):
+        others = out.apart(a)
+        others = others[100 * np.minimum(sizes[others], sizes[a]) >= percent * np.maximum(sizes[others], sizes[a])]
+        if not len(others):
+            continue
+        own = ids[at[a] : at[a + 1]]
+        mark[own] = 1
+        if 4 * len(others) > len(sets) - a:
+            common = np.add.reduceat(mark[ids[at[a + 1] :]], at[a + 1 : -1] - at[a + 1])[others - a - 1]
+        else:
+            common = np.array([mark[ids[at[b] : at[b + 1]]].sum() for b in others.tolist()])
+        mark[own] = 0
+        out.link(a, others[100 * common >= percent * (sizes[others] + sizes[a] - common)])
     return out.links
 
 
 def _links(members: DataFrame, held: str, compare) -> DataFrame:
-    """Links (u, v) that ``compare(classes, sizes, column held)`` finds in each tile; members:
-    (cluster, cls, n, held). Any two members of a cluster share a tile."""
-    counts = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("g"))
-    m = members.join(counts, "cluster").withColumn("sides", F.ceil(F.col("g") / TILE).cast("int"))
+    """Links (u, v) that ``compare(classes, sizes, column held)`` finds in each tile; members, a
+    table: (cluster, cls, n, held). Any two members of a cluster share a tile."""
+    total = members.groupBy("cluster").agg(F.sum(F.length(held)).alias("total"))
+    m = members.join(materialize(total), "cluster").withColumn("sides", F.ceil(F.col("total") / TILE).cast("int"))
     m = m.withColumn("side", F.pmod(F.hash("cls"), F.col("sides")))
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
     m = m.select("cluster", "cls", "n", held, "side", other)
@@ -256,32 +286,38 @@ def _links(members: DataFrame, held: str, compare) -> DataFrame:
     return m.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u bigint, v bigint")
 
 
+def _met(shared: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join all sets that meet in a key, or in two where many have them.
+    Aggregates are written before they are joined, so that Spark can split a join at a key that
+    many rows have."""
+    n = F.countDistinct("cls").alias("n")
+    groups = materialize(shared.groupBy("key").agg(F.min("cls").alias("least"), n).where(F.col("n") > 1))
+    met = materialize(shared.join(groups, "key"))
+    plain = met.where(F.col("n") <= OFTEN).select(F.col("cls").alias("u"), F.col("least").alias("v"))
+    frequent = met.where(F.col("n") > OFTEN).withColumn("grp", group_of(F.col("key"), Bands(percent)))
+    frequent = frequent.groupBy("cls", "grp").agg(F.array_sort(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
+    rest = lambda i: F.slice("keys", i + 2, F.size("keys"))
+    both = F.flatten(F.transform("keys", lambda k, i: F.transform(rest(i), lambda other: F.xxhash64(k, other))))
+    pairs = materialize(frequent.select("cls", F.explode(both).alias("both")))
+    least = materialize(pairs.groupBy("both").agg(F.min("cls").alias("v"), F.max("cls").alias("w")).where("v <> w"))
+    return plain.unionAll(pairs.join(least, "both").select(F.col("cls").alias("u"), "v"))
+
+
+@tidy
 def join_components(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85
 ) -> DataFrame:
     """``id_col`` (integer), n_shingles, component_id: one row for each document."""
     df = df.select(F.col(id_col).cast("bigint").alias(id_col), text_col)
     docs = materialize(_classes(df, id_col, text_col, words))
-    classes = docs.where("cls is not null").groupBy("cls").agg(F.min(id_col).alias("first_id"))
+    classes = materialize(docs.where("cls is not null").groupBy("cls").agg(F.min(id_col).alias("first_id")))
 
-    by_key = Window.partitionBy("key")
-    rows = _keys(df, id_col, text_col, words, percent).repartition("key")
-    rows = rows.withColumn("least", F.min("cls").over(by_key)).withColumn("most", F.max("cls").over(by_key))
-    shared = materialize(rows.where("least <> most").select("key", "cls", "least"))
-
-    counts = shared.groupBy("key").agg(F.countDistinct("cls").alias("n"))
-    often = counts.where(F.col("n") > OFTEN).select("key")
-    plain = shared.join(often, "key", "left_anti").select(F.col("cls").alias("u"), F.col("least").alias("v"))
-    # A frequent key counts only together with another shared key of the same set.
-    frequent = shared.join(often, "key", "left_semi").select("cls", "key").distinct()
-    second = shared.select("cls", F.col("key").alias("other")).distinct()
-    pairs = frequent.join(second, "cls").where("key <> other")
-    pairs = pairs.select("cls", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("both")).distinct()
-    least = pairs.groupBy("both").agg(F.min("cls").alias("v"), F.max("cls").alias("w")).where("v <> w")
-    composed = pairs.join(least, "both").select(F.col("cls").alias("u"), "v")
-    clusters = components(plain.unionAll(composed)).toDF("cls", "cluster")
-
-    sketches = docs.join(clusters, "cls").dropDuplicates(["cls"]).select("cluster", "cls", F.col("n_shingles").alias("n"), "sketch")
+    shared = materialize(_shared(_keys(df, id_col, text_col, words, percent)))
+    clusters = components(_met(shared, percent)).toDF("cls", "cluster")
+
+    firsts = clusters.join(classes, "cls").withColumnRenamed("first_id", id_col)
+    sketches = docs.join(firsts, [id_col, "cls"]).dropDuplicates(["cls"])
+    sketches = materialize(sketches.select("cluster", "cls", F.col("n_shingles").alias("n"), "sketch"))
     possible = _links(sketches, "sketch", lambda c, n, x: possible_links(c, n, x, percent))
     clusters = components(possible).toDF("cls", "cluster")
 
@@ -289,12 +325,12 @@ def join_components(
     sets = _sets(df, wanted.select(id_col, "cls"), id_col, text_col, words)
     sets = wanted.select("cls", "cluster").join(sets, "cls").select("cluster", "cls", F.lit(0).alias("n"), "tokens")
     exact = lambda c, _, x: forest(c, [np.frombuffer(t, K.U) for t in x], percent)
-    links = _links(sets, "tokens", exact)
+    links = _links(materialize(sets), "tokens", exact)
     linked = components(links).toDF("cls", "component")
 
-    named = classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least_id = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least_id, "component").select("cls", "component_id")
+    named = materialize(classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    least_id = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
+    named = materialize(named.join(least_id, "component").select("cls", "component_id"))
     out = docs.join(named, "cls", "left")
     return out.select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
 
