@@ -22,8 +22,11 @@ from pyspark.sql import DataFrame
 
 from wordloom.llm.common import map_texts, texts_of
 
-_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What may end a tag, or open a value in quotes within it.
+TAG_STOP = re.compile(r""">|=\s*(["'])""")
+#: Elements are nested to this depth; deeper ones become siblings, as in browsers.
+DEPTH = 512
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Elements of HTML by their role here.
@@ -67,12 +70,12 @@ START = {"article": 10, "main": 8, "section": 4, "div": 5, "pre": 3, "td": 3, "b
 
 
 class Node:
-    __slots__ = ("tag", "names", "drop", "parent", "children", "score", "chars", "links")
+    __slots__ = ("tag", "names", "drop", "parent", "children", "score", "chars", "links", "anchors")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", drop: bool = False):
         self.tag, self.parent, self.names, self.drop = tag, parent, names, drop
         self.children: list[Node | str] = []
-        self.score, self.chars, self.links = 0.0, 0, 0
+        self.score, self.chars, self.links, self.anchors = 0.0, 0, 0, 0
 
 
 @lru_cache(maxsize=20_000)
@@ -84,54 +87,107 @@ def _attributes(raw: str) -> tuple[str, str, bool]:
     return names, found.get("role", "").lower(), hidden
 
 
-def parse(page: str) -> Node:
-    root = Node("html", None)
-    node, at, n = root, 0, len(page)
-    while at < n:
-        m = MARKUP.search(page, at)
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends at ``at``; -1 if the page ends in it."""
+    while True:
+        m = TAG_STOP.search(page, at)
         if m is None:
-            cut = re.search(r"<[/a-zA-Z!?][^<]*\Z", page[at:])  # a tag that the end cuts off
-            node.children.append(html.unescape(page[at : at + cut.start()] if cut else page[at:]))
-            break
-        if m.start() > at:
-            node.children.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
+            return -1
+        if m[1] is None:
+            return m.start()
+        at = page.find(m[1], m.end()) + 1
+        if not at:
+            return -1
+
+
+class _Tree:
+    """The open elements of a page that is read."""
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("html", None)
+        self.depth = 0
+        self.open: dict[str, int] = {}
+
+    def text(self, piece: str) -> None:
+        if piece:
+            self.node.children.append(html.unescape(piece) if "&" in piece else piece)
+
+    def up_to(self, node: Node) -> None:
+        """``node`` is the innermost open element from now on."""
+        while self.node is not node:
+            self.open[self.node.tag] -= 1
+            self.node, self.depth = self.node.parent, self.depth - 1
+
+    def end(self, tag: str) -> None:
+        if self.open.get(tag):
+            up = self.node
+            while up.tag != tag:
                 up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
-            elif tag == "p":
-                node.children.append(Node("p", node))
-            continue
+            self.up_to(up.parent)
+        elif tag == "p":
+            self.node.children.append(Node("p", self.node))
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag == "body":
+            self.up_to(self.root)
         if tag in ("html", "body"):
-            if tag == "body":
-                while node.parent is not None:
-                    node = node.parent
-            continue
+            return
         if tag in BLOCK or tag in CLOSES:
-            closed, stop = CLOSES.get(tag, ((), ()))
-            up = node
-            while up.parent is not None and up.tag not in stop:
+            closed, stop = CLOSES.get(tag, (frozenset(), frozenset()))
+            up = self.node
+            while up.parent is not None and up.tag not in stop and any(map(self.open.get, ("p", *closed))):
+                above, of_block = up.parent, up.tag in BLOCK and up.tag != "p"
                 if up.tag == "p" or up.tag in closed:
-                    node = up.parent
-                if up.tag in BLOCK and up.tag not in closed and up.tag != "p" and not closed:
+                    self.up_to(above)
+                if of_block and not closed:
                     break
-                up = up.parent
-        names, role, hidden = _attributes(m[3]) if m[3] else ("", "", False)
-        child = Node(tag, node, names, hidden or role in ROLES or tag in DROPPED)
-        node.children.append(child)
+                up = above
+        names, role, hidden = _attributes(attributes) if attributes else ("", "", False)
+        child = Node(tag, self.node, names, hidden or role in ROLES or tag in DROPPED)
+        self.node.children.append(child)
+        if tag not in RAW and tag not in VOID and not attributes.endswith("/") and self.depth < DEPTH:
+            self.node, self.depth = child, self.depth + 1
+            self.open[tag] = self.open.get(tag, 0) + 1
+
+
+def parse(page: str) -> Node:
+    """The page's tree, in one pass over it. A tag or comment that the end cuts off is left out."""
+    tree, text, at, n = _Tree(), 0, 0, len(page)
+    while True:
+        lt = page.find("<", at)
+        c = page[lt + 1 : lt + 2] if lt >= 0 else ""
+        closing = c == "/"
+        name = NAME.match(page, lt + 1 + closing) if lt >= 0 else None
+        if lt >= 0 and name is None and (not c or c not in "/!?"):
+            if lt + 1 < n:
+                at = lt + 1  # no markup
+                continue
+            lt = n - 1
+        tree.text(page[text:lt] if lt >= 0 else page[text:])
+        if lt < 0:
+            return tree.root
+        if name is None:
+            comment = page.startswith("!--", lt + 1)
+            end = page.find("-->" if comment else ">", lt + 4 if comment else lt + 1)
+            if end < 0:
+                return tree.root
+            text = at = end + (3 if comment else 1)
+            continue
+        end = _tag_end(page, name.end())
+        if end < 0:
+            return tree.root
+        tag, text = name[0].lower(), end + 1
+        at = text
+        if closing:
+            tree.end(tag)
+            continue
+        tree.start(tag, page[name.end() : end])
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            node = child
-    return root
+            m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            end = page.find(">", m.end()) if m else -1
+            if end < 0:
+                return tree.root
+            text = at = end + 1
 
 
 def _measure(node: Node) -> None:
@@ -143,12 +199,14 @@ def _measure(node: Node) -> None:
         stack += [c for c in x.children if not isinstance(c, str) and not c.drop]
     for x in reversed(order):
         x.chars = x.links = 0
+        x.anchors = int(x.tag == "a")
         for c in x.children:
             if isinstance(c, str):
                 x.chars += len(c) if len(c) < 3 or not c.isspace() else 0
             elif not c.drop:
                 x.chars += c.chars
                 x.links += c.links
+                x.anchors += c.anchors
         if x.tag == "a":
             x.links = x.chars
 
@@ -277,8 +335,7 @@ def main_text(page: str) -> str:
     for x in _nodes(best):
         if x is best or x.tag in HEADINGS:
             continue
-        count = sum(y.tag == "a" for y in _nodes(x)) if x.tag in ("ul", "ol", "dl", "div", "section", "table") and x.links else 0
-        if count >= 2 and _density(x) > 0.5:
+        if x.tag in ("ul", "ol", "dl", "div", "section", "table") and x.links and x.anchors >= 2 and _density(x) > 0.5:
             x.drop = True
     if best.parent is None:
         return "\n".join(_blocks(best))
