@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -86,3 +87,24 @@ def work_folder(spark: SparkSession) -> str:
 
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
+
+
+class Remembered(dict):
+    """What ``function`` gives for a key. All is forgotten when keys and values take more than
+    ``most`` bytes; keys over LONGEST characters are not remembered."""
+
+    LONGEST = 200
+
+    def __init__(self, function: Callable, most: int):
+        super().__init__()
+        self.function, self.most, self.size = function, most, 0
+
+    def __missing__(self, key):
+        value = self.function(key)
+        if not isinstance(key, str) or len(key) <= self.LONGEST:
+            self.size += sys.getsizeof(key) + sys.getsizeof(value) + 100
+            if self.size > self.most:
+                self.clear()
+                self.size = 0
+            self[key] = value
+        return value

@@ -19,6 +19,7 @@ Rows that repeat are predicted alike. A character outside the vocabulary counts
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from functools import lru_cache
 
@@ -33,8 +34,8 @@ WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-8
 ROUNDS = 4
 SMOOTHING = 0.05
-#: Words of which a worker remembers the scores; beyond that it forgets them all and goes on.
-REMEMBERED = 400_000
+#: Bytes of words and their scores that are remembered from one block of texts to the next.
+REMEMBERED = 100_000_000
 
 
 def default_vocabulary() -> str:
@@ -228,14 +229,17 @@ def predictor(langs: list[str], probability: np.ndarray, path: str):
     own = lattice(path)
     known: dict[str, int] = {}
     table = np.zeros((0, len(langs)))
-    filled = 0
+    filled = held = 0
 
     def learn(words: set[str]) -> None:
-        nonlocal table, filled
+        nonlocal table, filled, held
         new = list(words.difference(known))
-        if len(known) + len(new) > REMEMBERED:
+        size = lambda some: sum(map(sys.getsizeof, some)) + (100 + 8 * len(langs)) * len(some)
+        if held + size(new) > REMEMBERED:
             known.clear()
-            filled, new = 0, list(words)
+            table = np.zeros((0, len(langs)))
+            filled, held, new = 0, 0, list(words)
+        held += size(new)
         if new:
             if filled + len(new) > len(table):
                 table = np.vstack([table[:filled], np.zeros((len(new) + filled + 10_000, len(langs)))])

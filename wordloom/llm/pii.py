@@ -263,6 +263,9 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def redact_texts(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The rows of ``df`` with the spans in ``text_col`` replaced by their kinds; ``length_col``,
     if given, gets the new number of code points where the text changed. Null stays null."""
+    if length_col is not None and length_col not in df.columns:
+        raise ValueError(f"no column {length_col!r} in {df.columns}")
+    number = df.columns.index(length_col) if length_col is not None else None
     accepted = _accepted(_proposed(df, text_col, text_col))
 
     def run(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
@@ -275,8 +278,8 @@ def redact_texts(df: DataFrame, text_col: str = "text", length_col: str | None =
                     changed[i] = texts[i] = redact(text, _joined(spans))
         columns = list(batch.columns)
         columns[at] = pa.array(texts, columns[at].type)
-        if length_col is not None:
-            n = batch.schema.get_field_index(length_col)
+        if number is not None:
+            n = number
             lengths = columns[n].to_pylist()
             for i, text in changed.items():
                 lengths[i] = len(text)

@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wordloom.llm.common import map_texts, texts_of
+from wordloom.llm.common import Remembered, map_texts, texts_of
 
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Stretches of text of which a worker remembers the pieces; beyond that it forgets them all.
-REMEMBERED = 500_000
+#: Bytes of the memory of stretches, and pairs of pieces that are remembered (130 bytes each).
+REMEMBERED, PAIRS = 120_000_000, 500_000
 
 
 def default_model() -> str:
@@ -99,7 +99,7 @@ class Codec:
             self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, bytes] = _Known(self)
+        self.known = Remembered(self.ids_of, REMEMBERED)
         self.table = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace("▁", " ").encode() for p, k in zip(self.pieces, self.kinds)]
         self.table[self.unknown] = " ⁇ ".encode()
         self.runs = re.compile("▁+[^▁]*|[^▁]+")
@@ -120,6 +120,8 @@ class Codec:
         """May piece ``right`` stand after ``left`` (-1: where nothing merges with it)?"""
         pair = [self.pieces[i] for i in (left, right) if i >= 0]
         ok = ("".join(pair) not in self.ids or left < 0) and self.merged("".join(pair)) == pair
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
         self.fits[left << 20 | right] = ok
         return ok
 
@@ -164,6 +166,10 @@ class Codec:
         for k in range(at, to):
             last[k + 1], start[k + 1], score[k + 1] = -2, k, score[k] + self.lowest
 
+    def ids_of(self, run: str) -> bytes:
+        """Ids of a stretch as bytes. With a prefix, one without marks stands for that after one."""
+        return np.array(self.encode_run(self.prefix + run if run[0] != "▁" else run), np.int32).tobytes()
+
     def encode_bytes(self, text: str) -> bytes:
         """Piece ids as 32-bit numbers."""
         if not text:
@@ -183,23 +189,6 @@ class Codec:
         return data.decode("utf-8", "replace")
 
 
-class _Known(dict):
-    """Stretch -> ids as bytes. With a prefix, a stretch without marks stands for that after one."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, run: str) -> bytes:
-        codec = self.codec
-        whole = codec.prefix + run if run[0] != "▁" else run
-        ids = np.array(codec.encode_run(whole), np.int32).tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[run] = ids
-        return ids
-
-
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)

@@ -22,10 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from wordloom.llm.common import map_texts, texts_of
+from wordloom.llm.common import Remembered, map_texts, texts_of
 
-#: Words of which a worker remembers the counts; beyond that it forgets them all and goes on.
-REMEMBERED = 600_000
+#: Bytes of each of two memories of words, and pairs of tokens that are remembered (130 bytes each).
+REMEMBERED, PAIRS = 90_000_000, 500_000
 
 
 def default_tokenizer() -> str:
@@ -72,8 +72,8 @@ class PrefixCounter:
             f"|[{blank}]+(?![^{blank}])|[{blank}]+"
         )
         self.fits: dict[int, bool] = {}
-        self.totals = _Known(self.count_word)
-        self.by_chunk = _Known(lambda chunk: self.count_chunk(" " + chunk))
+        self.totals = Remembered(self.count_word, REMEMBERED)
+        self.by_chunk = Remembered(lambda chunk: self.count_chunk(" " + chunk), REMEMBERED)
         self.space_runs = re.compile(r"[\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
         self.lone_space = re.compile(r"(?<=\S) ")
 
@@ -95,6 +95,8 @@ class PrefixCounter:
         else:
             pair = [self.tokens[left], self.tokens[right]]
             ok = tuple(pair) not in self.rank and self.merged("".join(pair)) == pair
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
         self.fits[left << 20 | right] = ok
         return ok
 
@@ -191,21 +193,6 @@ class PrefixCounter:
         return at + max(p for p, n in enumerate(counts) if base + n <= limit)
 
 
-class _Known(dict):
-    """Remembers what a function gives; forgets all of it when it holds too much."""
-
-    def __init__(self, function):
-        super().__init__()
-        self.function = function
-
-    def __missing__(self, key: str) -> int:
-        value = self.function(key)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = value
-        return value
-
-
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
