@@ -3,16 +3,20 @@
 Queries are a DataFrame (query_id, query[, cap_not_found, cap_found]). Results are rows
 (query_id, query, rank, kind, expr_index, percentile, word). Every choice among equals goes by
 word, so results don't depend on partitions. ``candidates`` is a condition on expr_index; like the
-reference semantics it does not touch the exact match.
+reference semantics it does not touch the exact match. Operators take a node table, or an `Index`
+of it, which many batches of queries share.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import deletion_variants, prefixes, spellings_cap, within_one_edit
 from wordloom.operators.build import words_of
+from wordloom.session import materialize
 
 MOST = 6
 SEEDS = 3
@@ -32,21 +36,93 @@ def _top(rows: DataFrame, limit: Column | int, by: str = "query_id", order: list
     return rows.withColumn("place", place).where(F.col("place") <= limit).drop("place")
 
 
-def asked(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Queries with what the tree has at them: asked (an empty query asks for the first node),
-    is_node, has_children, match (the word's row or null), cap."""
+@dataclass(frozen=True)
+class Index:
+    """A node table made ready for searches. Batches of queries are joined with it by key and
+    read no more of a tree than what stands at their keys.
+
+    places: (asked, has_children, match, more, sweep), a row for each node: its word's (percentile,
+    expr_index, word) or null; the best words that strictly extend it; and the best words among
+    those that start with it or with one of its later siblings. Words in lists are
+    (minus, word, expr_index), minus being the percentile times -1, in order.
+    variants: (variant, node, percentile, expr_index, promise): each node by itself and with one
+    character less; expr_index is null for what is no word that may be found."""
+
+    places: DataFrame
+    variants: DataFrame
+
+    def stored(self) -> Index:
+        return Index(materialize(self.places), materialize(self.variants))
+
+
+ENTRY = "struct<minus:int,word:string,expr_index:int>"
+
+
+def index(nodes: DataFrame, candidates: Column | str = "true") -> Index:
+    """The index of a node table, or of its words that pass ``candidates``."""
+    entry = F.struct((-F.col("percentile")).cast("int").alias("minus"), F.col("word"), F.col("expr_index").cast("int").alias("expr_index"))
+    words = words_of(nodes).where(candidates)
+    steps = words.select("percentile", "word", entry.alias("entry"), F.explode(prefixes("word")).alias("asked")).where("asked <> word")
+    more = _top(steps, MOST, "asked").groupBy("asked").agg(F.array_sort(F.collect_list("entry")).alias("more"))
+    own = words.select(F.col("word").alias("asked"), entry.alias("own"))
+    none = F.array().cast(f"array<{ENTRY}>")
+    at = nodes.select(
+        F.col("prefix").alias("asked"), "parent", (F.col("first_child_pos") > 0).alias("has_children"),
+        F.when(F.col("expr_index").isNotNull(), F.struct("expr_index", "percentile", F.col("prefix").alias("word"))).alias("match"),
+    ).join(more, "asked", "left").join(own, "asked", "left").withColumn("more", F.coalesce("more", none))
+    # Siblings from the last one on; each one's sweep is the best of the one before it and its own.
+    below = F.concat(F.when(F.col("own").isNull(), none).otherwise(F.array("own")), "more")
+    siblings = at.groupBy("parent").agg(F.sort_array(F.collect_list(F.struct("asked", below.alias("below"))), asc=False).alias("siblings"))
+    best = lambda state, x: F.slice(F.array_sort(F.concat(state["top"], x["below"])), 1, MOST)
+    start = F.struct(none.alias("top"), F.array().cast(f"array<struct<asked:string,sweep:array<{ENTRY}>>>").alias("out"))
+    step = lambda state, x: F.struct(best(state, x).alias("top"), F.concat(state["out"], F.array(F.struct(x["asked"].alias("asked"), best(state, x).alias("sweep")))).alias("out"))
+    swept = siblings.select(F.explode(F.aggregate("siblings", start, step, lambda state: state["out"])).alias("s")).select("s.*")
+    may = F.when(F.expr(candidates) if isinstance(candidates, str) else candidates, F.col("expr_index")).alias("expr_index")
+    variants = nodes.select(
+        F.explode(deletion_variants("prefix")).alias("variant"), F.col("prefix").alias("node"), "percentile", may,
+        F.col("max_child_percentile").alias("promise"),
+    )
+    return Index(at.drop("own", "parent").join(swept, "asked"), variants)
+
+
+def _index(nodes: DataFrame | Index, candidates: Column | str) -> Index:
+    if not isinstance(nodes, Index):
+        return index(nodes, candidates)
+    if not isinstance(candidates, str) or candidates != "true":
+        raise ValueError("an index holds the words it was made of; give the node table with other candidates")
+    return nodes
+
+
+def _with_caps(queries: DataFrame, first: DataFrame) -> DataFrame:
+    """Queries with their caps, and what they ask for: an empty query for the first node."""
     rows = queries
     for name, value in (("cap_not_found", NOT_FOUND_CAP), ("cap_found", FOUND_CAP)):
         rows = rows if name in rows.columns else rows.withColumn(name, F.lit(value))
-    first = nodes.where("parent = ''").agg(F.min("prefix").alias("first"))
-    rows = rows.crossJoin(F.broadcast(first)).withColumn("asked", F.expr("IF(query = '', coalesce(first, ''), query)")).drop("first")
+    return rows.crossJoin(F.broadcast(first)).withColumn("asked", F.expr("IF(query = '', coalesce(first, ''), query)")).drop("first")
+
+
+def _capped(rows: DataFrame) -> DataFrame:
+    rows = rows.fillna(False, ["is_node", "has_children"])
+    cap = spellings_cap(F.length("asked"), F.col("is_node"), F.col("cap_not_found"), F.col("cap_found"))
+    return rows.withColumn("cap", cap)
+
+
+def asked(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Queries with what the tree has at them: asked (an empty query asks for the first node),
+    is_node, has_children, match (the word's row or null), cap."""
+    rows = _with_caps(queries, nodes.where("parent = ''").agg(F.min("prefix").alias("first")))
     at = nodes.select(
         F.col("prefix").alias("asked"), F.lit(True).alias("is_node"), (F.col("first_child_pos") > 0).alias("has_children"),
         F.when(F.col("expr_index").isNotNull(), F.struct("expr_index", "percentile", F.col("prefix").alias("word"))).alias("match"),
     )
-    rows = rows.join(at, "asked", "left").fillna(False, ["is_node", "has_children"])
-    cap = spellings_cap(F.length("asked"), F.col("is_node"), F.col("cap_not_found"), F.col("cap_found"))
-    return rows.withColumn("cap", cap)
+    return _capped(rows.join(at, "asked", "left"))
+
+
+def _placed(found: Index, queries: DataFrame) -> DataFrame:
+    """`asked` by way of an index, with `more` where there are extensions."""
+    first = found.places.where("length(asked) = 1").agg(F.min("asked").alias("first"))
+    at = found.places.select("asked", F.lit(True).alias("is_node"), "has_children", "match", F.when(F.col("has_children"), F.col("more")).alias("more"))
+    return _capped(_with_caps(queries, first).join(at, "asked", "left"))
 
 
 def neighbours(queries: DataFrame, words: DataFrame, word: str = "word") -> DataFrame:
@@ -58,79 +134,73 @@ def neighbours(queries: DataFrame, words: DataFrame, word: str = "word") -> Data
     return q.join(w, "variant").where(within_one_edit("asked", word)).drop("variant").distinct()
 
 
-def _matches(found: DataFrame) -> DataFrame:
-    return found.where("match IS NOT NULL").select("query_id", F.lit(MATCHING).alias("kind"), "match.*")
-
-
-def _spellings(found: DataFrame, nodes: DataFrame, candidates: Column | str) -> DataFrame:
-    words = words_of(nodes).where(candidates)
-    near = neighbours(found.where("cap > 0"), words).where("asked <> word")
-    near = near.join(found.select("query_id", "cap"), "query_id")
-    return _top(near, F.col("cap")).select("query_id", F.lit(SPELLING).alias("kind"), "expr_index", "percentile", "word")
-
-
-def _extensions(found: DataFrame, nodes: DataFrame, candidates: Column | str) -> DataFrame:
-    """Words that strictly extend the queries (query_id, asked)."""
-    words = words_of(nodes).where(candidates)
-    steps = words.select("*", F.explode(prefixes("word")).alias("asked")).where("asked <> word")
-    rows = found.select("query_id", "asked").join(steps, "asked")
-    return rows.select("query_id", F.lit(EXTENSION).alias("kind"), "expr_index", "percentile", "word")
-
-
-def _ranked(rows: DataFrame, queries: DataFrame, pin: bool = True) -> DataFrame:
-    """Results in order: the match first (if pinned), then by percentile; without repeats."""
-    kind = F.expr(f"array_position(array('{MATCHING}', '{SPELLING}', '{EXTENSION}'), kind)")
-    rows = rows.withColumn("kind_order", kind)
-    rows = _top(rows.withColumn("one", F.concat_ws(":", "query_id", "expr_index")), 1, "one", [F.asc("kind_order"), F.asc("word")])
-    order = [F.asc(F.expr(f"IF(kind = '{MATCHING}', 0, 1)"))] if pin else []
-    order += [F.desc("percentile"), F.asc("kind_order"), F.asc("word")]
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("bigint")
-    rows = rows.withColumn("rank", rank).join(queries.select("query_id", "query"), "query_id")
-    return rows.select("query_id", "query", "rank", "kind", "expr_index", "percentile", "word")
-
-
-def completions(nodes: DataFrame, queries: DataFrame, candidates: Column | str = "true") -> DataFrame:
+def _near(found: Index, rows: DataFrame) -> DataFrame:
+    """``rows``, one for each query, with `spelled`, the best words one edit away up to the cap, and
+    `seeds`, for queries that can't be extended the nodes within one edit whose descendants promise
+    most."""
+    kept = F.struct(*(c for c in rows.columns if c != "query_id")).alias("kept")
+    variant = F.explode_outer(F.when(F.col("cap") > 0, deletion_variants("asked"))).alias("variant")
+    asks = rows.select("query_id", kept, variant)
+    near = asks.join(found.variants, (asks.variant == found.variants.variant) & within_one_edit("kept.asked", "node"), "left")
+    word = F.struct((-F.col("percentile")).cast("int").alias("minus"), F.col("node").alias("word"), F.col("expr_index").cast("int").alias("expr_index"))
+    seed = F.struct((-F.col("promise")).cast("int").alias("minus"), "node")
+    near = near.groupBy("query_id").agg(
+        F.first("kept").alias("kept"),
+        F.collect_set(F.when(F.col("expr_index").isNotNull() & (F.col("node") != F.col("kept.asked")), word)).alias("spelled"),
+        F.collect_set(F.when(~F.col("kept.has_children") & F.col("node").isNotNull(), seed)).alias("seeds"),
+    )
+    spelled = F.slice(F.array_sort("spelled"), F.lit(1), F.col("kept.cap"))
+    return near.select("query_id", "kept.*", spelled.alias("spelled"), F.slice(F.array_sort("seeds"), 1, SEEDS)["node"].alias("seeds"))
+
+
+def _results(rows: DataFrame, pin: bool, **lists: Column) -> DataFrame:
+    """Results in order: the match first (if pinned), then by percentile; without repeats. ``rows``
+    has a row for each query with its match; ``lists`` are words by kind."""
+    own = F.when(F.col("match").isNotNull(), F.array(F.struct(F.lit(0).alias("place"), F.lit(MATCHING).alias("kind"), (-F.col("match.percentile")).cast("int").alias("minus"), F.col("match.word").alias("word"), F.col("match.expr_index").cast("int").alias("expr_index"))))
+    parts = [F.coalesce(own, F.array().cast(f"array<struct<place:int,kind:string,minus:int,word:string,expr_index:int>>"))]
+    for place, (kind, words) in enumerate(lists.items(), 1):
+        parts.append(F.transform(words, lambda w, place=place, kind=kind: F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), w["minus"].alias("minus"), w["word"].alias("word"), w["expr_index"].alias("expr_index"))))
+    rows = rows.select("query_id", "query", F.explode(F.concat(*parts)).alias("r")).select("query_id", "query", "r.*")
+    again = F.row_number().over(Window.partitionBy("query_id", "expr_index").orderBy("place", "word"))
+    rows = rows.withColumn("again", again).where("again = 1")
+    order = [F.asc(F.expr("IF(place = 0, 0, 1)"))] if pin else []
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "minus", "place", "word")).cast("bigint")
+    return rows.select("query_id", "query", rank.alias("rank"), "kind", "expr_index", (-F.col("minus")).alias("percentile"), "word")
+
+
+def completions(nodes: DataFrame | Index, queries: DataFrame, candidates: Column | str = "true") -> DataFrame:
     """The best words that extend each query, and the query itself if it is a word, by percentile."""
-    found = asked(nodes, queries)
-    rows = _matches(found).unionByName(_top(_extensions(found, nodes, candidates), MOST))
-    return _ranked(_top(rows, MOST), queries, pin=False)
-
-
-def corrections(nodes: DataFrame, queries: DataFrame, candidates: Column | str = "true") -> DataFrame:
+    rows = _placed(_index(nodes, candidates), queries)
+    # The match takes a place among the best if its percentile (and word) come before the last.
+    more = F.coalesce("more", F.array().cast(f"array<{ENTRY}>"))
+    own = F.struct((-F.col("match.percentile")).cast("int").alias("minus"), F.col("match.word").alias("word"), F.col("match.expr_index").cast("int").alias("expr_index"))
+    both = F.slice(F.array_sort(F.when(F.col("match").isNull(), more).otherwise(F.concat(F.array(own), more))), 1, MOST)
+    held = F.coalesce(F.exists(both, lambda w: w["word"] == F.col("match.word")), F.lit(False))
+    rows = rows.withColumn("both", both).withColumn("match", F.when(held, F.col("match")))
+    extended = F.filter("both", lambda w: F.coalesce(w["word"] != F.col("match.word"), F.lit(True)))
+    return _results(rows, False, Extension=extended)
+
+
+def corrections(nodes: DataFrame | Index, queries: DataFrame, candidates: Column | str = "true") -> DataFrame:
     """The exact match, then the best words one edit away."""
-    found = asked(nodes, queries)
-    return _ranked(_matches(found).unionByName(_spellings(found, nodes, candidates)), queries)
-
+    found = _index(nodes, candidates)
+    return _results(_near(found, _placed(found, queries).drop("more")), True, Spelling=F.col("spelled"))
 
-def seeds(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, seed): for queries that can't be extended themselves, the nodes at most one edit
-    away whose descendants promise most."""
-    rest = found.where("NOT has_children AND cap > 0")
-    near = neighbours(rest, nodes.select(F.col("prefix").alias("word"), F.col("max_child_percentile").alias("percentile")))
-    return _top(near, SEEDS).select("query_id", F.col("word").alias("seed"))
 
-
-def suggestions(nodes: DataFrame, queries: DataFrame, candidates: Column | str = "true") -> DataFrame:
+def suggestions(nodes: DataFrame | Index, queries: DataFrame, candidates: Column | str = "true") -> DataFrame:
     """Match, corrections and extensions in one list. A query that has no extensions is completed
     from its seeds: by the words of each seed's siblings from the seed on. What match and
     corrections leave of six rows goes to extensions, which may repeat each other and the
     corrections; repeats go last of all."""
-    found = asked(nodes, queries)
-    spelled = _matches(found).unionByName(_spellings(found, nodes, candidates))
-    taken = spelled.groupBy("query_id").agg(F.count(F.lit(1)).alias("taken"))
-    left = F.greatest(F.lit(MOST) - F.coalesce("taken", F.lit(0)), F.lit(0)).alias("left")
-    budget = queries.select("query_id").join(taken, "query_id", "left").select("query_id", left)
-    extended = _top(_extensions(found.where("has_children"), nodes, candidates), MOST)
-
-    seed = seeds(found, nodes).withColumn("parent", F.expr("substr(seed, 1, length(seed) - 1)"))
-    words = words_of(nodes).where(candidates)
-    parents = F.concat(F.array(F.lit("")), F.expr("slice(" + "transform(sequence(1, length(word)), i -> substr(word, 1, i)), 1, length(word) - 1)"))
-    swept = words.select("*", F.explode(parents).alias("parent")).join(seed, "parent")
-    swept = swept.where("substr(word, 1, length(seed)) >= seed")
-    swept = swept.select("query_id", F.lit(EXTENSION).alias("kind"), "expr_index", "percentile", "word")
-    extensions = extended.unionByName(_top(swept, MOST)).join(budget, "query_id")
-    extensions = _top(extensions, F.col("left")).drop("left")
-    return _ranked(spelled.unionByName(extensions), queries)
+    found = _index(nodes, candidates)
+    rows = _near(found, _placed(found, queries))
+    kept = F.struct(*(c for c in rows.columns if c not in ("query_id", "seeds"))).alias("kept")
+    rows = rows.select("query_id", kept, F.explode_outer("seeds").alias("seed"))
+    rows = rows.join(found.places.select(F.col("asked").alias("seed"), "sweep"), "seed", "left")
+    rows = rows.groupBy("query_id").agg(F.first("kept").alias("kept"), F.flatten(F.collect_list("sweep")).alias("swept")).select("query_id", "kept.*", "swept")
+    room = F.greatest(F.lit(MOST) - F.size("spelled") - F.when(F.col("match").isNotNull(), 1).otherwise(0), F.lit(0))
+    extended = F.slice(F.array_sort(F.coalesce(F.when(F.col("has_children"), F.col("more")), F.col("swept"))), F.lit(1), room)
+    return _results(rows, True, Spelling=F.col("spelled"), Extension=extended)
 
 
 def shown(rows: DataFrame) -> DataFrame:
