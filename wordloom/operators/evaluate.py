@@ -14,8 +14,6 @@ def typo_queries(words: DataFrame, per_kind: int) -> DataFrame:
     """(query_id, query, target, kind): for each kind of edit the commonest words of 5 to 12
     letters a-z, with one edit."""
     clean = words.where("length(word) BETWEEN 5 AND 12 AND word RLIKE '^[a-z]+$'")
-    # No word of five letters or more fails but for a swap of equal letters, so twice the number
-    # asked for, and one more at a time, is enough unless very many words repeat their middle.
     rows = reduce(DataFrame.unionByName, [clean.withColumn("kind", F.lit(k)) for k in KINDS])
     rows = rows.withColumn("query", edited("word", "kind")).where("query IS NOT NULL")
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("percentile"), "ordinal"))
@@ -86,3 +84,13 @@ def percentile_histogram(nodes: DataFrame) -> DataFrame:
     """(bucket, nodes) by tens of percentile over all nodes, what is no word counting as 0."""
     bucket = F.expr("least(coalesce(percentile, 0) div 10, 100)").cast("bigint").alias("bucket")
     return nodes.groupBy(bucket).agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def histogram_line(histogram: DataFrame, buckets: int) -> DataFrame:
+    """(line): the numbers of a (bucket, nodes) histogram of at most ``buckets``, `[a, b, c]`, without
+    zeros at the end."""
+    held = F.map_from_entries(F.collect_list(F.struct("bucket", "nodes"))).alias("held")
+    last = F.coalesce(F.array_max(F.map_keys("held")), F.lit(-1))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.element_at("held", b.cast("bigint")), F.lit(0)).cast("string"))
+    rows = histogram.where(F.col("nodes") > 0).agg(held)
+    return rows.select(F.concat(F.lit("["), F.array_join(F.slice(numbers, F.lit(1), (last + 1).cast("int")), ", "), F.lit("]")).alias("line"))

@@ -10,6 +10,7 @@ of it, which many batches of queries share.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,13 +154,21 @@ def _near(found: Index, rows: DataFrame) -> DataFrame:
     return near.select("query_id", "kept.*", spelled.alias("spelled"), F.slice(F.array_sort("seeds"), 1, SEEDS)["node"].alias("seeds"))
 
 
+def _entry(match: str) -> Column:
+    at = lambda name: F.col(f"{match}.{name}")
+    return F.struct((-at("percentile")).cast("int").alias("minus"), at("word").alias("word"), at("expr_index").cast("int").alias("expr_index"))
+
+
 def _results(rows: DataFrame, pin: bool, **lists: Column) -> DataFrame:
     """Results in order: the match first (if pinned), then by percentile; without repeats. ``rows``
     has a row for each query with its match; ``lists`` are words by kind."""
-    own = F.when(F.col("match").isNotNull(), F.array(F.struct(F.lit(0).alias("place"), F.lit(MATCHING).alias("kind"), (-F.col("match.percentile")).cast("int").alias("minus"), F.col("match.word").alias("word"), F.col("match.expr_index").cast("int").alias("expr_index"))))
-    parts = [F.coalesce(own, F.array().cast(f"array<struct<place:int,kind:string,minus:int,word:string,expr_index:int>>"))]
+    def item(place: int, kind: str, word: Column) -> Column:
+        return F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), word["minus"].alias("minus"), word["word"].alias("word"), word["expr_index"].alias("expr_index"))
+
+    own = F.when(F.col("match").isNotNull(), F.array(item(0, MATCHING, _entry("match"))))
+    parts = [F.coalesce(own, F.array().cast("array<struct<place:int,kind:string,minus:int,word:string,expr_index:int>>"))]
     for place, (kind, words) in enumerate(lists.items(), 1):
-        parts.append(F.transform(words, lambda w, place=place, kind=kind: F.struct(F.lit(place).alias("place"), F.lit(kind).alias("kind"), w["minus"].alias("minus"), w["word"].alias("word"), w["expr_index"].alias("expr_index"))))
+        parts.append(F.transform(words, partial(item, place, kind)))
     rows = rows.select("query_id", "query", F.explode(F.concat(*parts)).alias("r")).select("query_id", "query", "r.*")
     again = F.row_number().over(Window.partitionBy("query_id", "expr_index").orderBy("place", "word"))
     rows = rows.withColumn("again", again).where("again = 1")
@@ -173,8 +182,7 @@ def completions(nodes: DataFrame | Index, queries: DataFrame, candidates: Column
     rows = _placed(_index(nodes, candidates), queries)
     # The match takes a place among the best if its percentile (and word) come before the last.
     more = F.coalesce("more", F.array().cast(f"array<{ENTRY}>"))
-    own = F.struct((-F.col("match.percentile")).cast("int").alias("minus"), F.col("match.word").alias("word"), F.col("match.expr_index").cast("int").alias("expr_index"))
-    both = F.slice(F.array_sort(F.when(F.col("match").isNull(), more).otherwise(F.concat(F.array(own), more))), 1, MOST)
+    both = F.slice(F.array_sort(F.when(F.col("match").isNull(), more).otherwise(F.concat(F.array(_entry("match")), more))), 1, MOST)
     held = F.coalesce(F.exists(both, lambda w: w["word"] == F.col("match.word")), F.lit(False))
     rows = rows.withColumn("both", both).withColumn("match", F.when(held, F.col("match")))
     extended = F.filter("both", lambda w: F.coalesce(w["word"] != F.col("match.word"), F.lit(True)))

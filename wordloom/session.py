@@ -80,14 +80,26 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 _kept: dict[tuple, DataFrame] = {}
 
 
-def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``build`` gives, made once in an application and read from then on."""
-    key = (spark.sparkContext.applicationId, *key)
+def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame], sources: tuple[str, ...] = ()) -> DataFrame:
+    """The table that ``build`` gives, made once in an application and read from then on, as long as
+    the files at ``sources`` stay as they are."""
+    key = (spark.sparkContext.applicationId, *key, *(_state(spark, x) for x in sources))
     if key not in _kept:
         _kept[key] = materialize(build())
     return _kept[key]
 
 
+def _state(spark: SparkSession, source: str) -> tuple:
+    """Names, sizes and times of the files at a path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    out = []
+    for status in found or ():
+        inner = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in inner]
+    return tuple(sorted(out))
+
+
 def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds the row's place, from 0, in a total order. Rows are dealt into ranges, numbered in
     each, and moved on by the sizes of the ranges before, so no task sees all rows."""

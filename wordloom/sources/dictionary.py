@@ -52,19 +52,21 @@ def keep_first(dictionary: DataFrame) -> DataFrame:
 
 def from_texts(texts: DataFrame, column: str = "text") -> DataFrame:
     """The vocabulary of texts: lower-cased words of letters a-z, commonest first; the percentile
-    falls from 999 to 0 with the rank, which is also the expr_index."""
+    falls from 999 to 0 with the rank, which is also the expr_index; more words than indexes stop
+    the job."""
     words = texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
     counts = words.select(F.lower("word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
     counts = materialize(counts)
     total = counts.agg(F.count(F.lit(1)).alias("n"))
     ranked = with_rank(counts, [F.desc("freq"), F.asc("word")], "ordinal").crossJoin(F.broadcast(total))
     place = F.col("ordinal") + 1
-    return ranked.select(
+    rows = ranked.select(
         place.alias("ordinal"),
         "word",
         F.expr("(1000 * (n - ordinal - 1)) div n").cast("int").alias("percentile"),
         place.cast("int").alias("expr_index"),
     )
+    return checked(rows)
 
 
 def save(nodes: DataFrame, path: str) -> None:
@@ -74,3 +76,9 @@ def save(nodes: DataFrame, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def write_tsv(dictionary: DataFrame, path: str, compression: str = "none") -> None:
+    """Tab-separated `word, percentile, expr_index`, files and lines in order of insertion."""
+    rows = dictionary.repartitionByRange(F.col("ordinal")).sortWithinPartitions("ordinal").select("word", "percentile", "expr_index")
+    rows.write.options(sep="\t", quote="", escape="", header=False, compression=compression, emptyValue="").csv(path)
