@@ -1,7 +1,9 @@
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wordloom.llm import ngram_join as N
 from wordloom.llm.ngram_join import join_components
@@ -43,7 +45,7 @@ def test_edges(spark):
 
 def test_near_copies_that_crowd(spark, monkeypatch):
     monkeypatch.setattr(N, "OFTEN", 3)
-    monkeypatch.setattr(N, "TILE", 2_000)
+    monkeypatch.setattr(N, "TILE", 8)
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, common = [], r.choices(vocabulary, k=12)
@@ -86,3 +88,59 @@ def test_sketches_rule_no_link_out():
             more = {x for p in possible if p & joined for x in p} - joined
             joined, grew = joined | more, bool(more)
         assert b in joined
+
+
+def test_frequent_keys_meet_in_a_group(spark):
+    """Two sets that may link have two common keys in one group, whatever their size."""
+    r = np.random.default_rng(5)
+    bands, rows = N.Bands(85), []
+    for n in (7, 40, 200, 900, 5000):
+        for _ in range(20):
+            base = r.integers(0, 2**63, n).astype(np.uint64)
+            cut = int(n * 0.15)
+            other = np.unique(np.r_[base[: n - cut // 2], r.integers(0, 2**63, cut - cut // 2).astype(np.uint64)])
+            common = len(np.intersect1d(base, other))
+            if 100 * common >= 85 * (n + len(other) - common) and len(np.setxor1d(base, other)):
+                shared = np.intersect1d(N.keys_of(np.sort(base), bands), N.keys_of(other, bands))
+                rows.append([len(rows), shared.view(np.int64).tolist()])
+    keys = spark.createDataFrame(rows, "pair int, keys array<bigint>").selectExpr("pair", "explode(keys) AS key")
+    twice = keys.groupBy("pair", N.group_of(F.col("key"), N.Bands(85))).count().where("count > 1").select("pair").distinct()
+    assert len(rows) > 50 and twice.count() == len(rows)
+
+
+def test_copies_of_a_long_text(spark):
+    """64 near copies of a text of 20,000 words, each with other words changed."""
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(20_000)]
+    rows = []
+    for i in range(64):
+        copy = list(base)
+        for _ in range(50):
+            copy[r.randrange(len(copy))] = f"x{i}"
+        rows.append((i + 10, " ".join(copy)))
+    begun = time.time()
+    got = join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.component_id for x in got} == {10} and len(got) == 64
+    assert time.time() - begun < 300
+
+
+def test_large_clusters(spark, monkeypatch):
+    """Clusters of many tiles: near copies of one text, of a text that drifts, and texts that share
+    half of their words with all others."""
+    monkeypatch.setattr(N, "TILE", 10)
+    monkeypatch.setattr(N, "OFTEN", 4)
+    r = random.Random(7)
+    some = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    base, drift, half = some(60), some(80), some(60)
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        copy[r.randrange(60)] = "x"
+        drift[r.randrange(80)] = "y"
+        for words in (copy, drift, half + some(60 if i % 2 else 4)):
+            rows.append((len(rows) * 7 % 121, " ".join(words)))
+    rows += [rows[0], rows[5]]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, cluster int")
+    want = brute(list(dict(rows).items()))
+    got = join_components(df).collect()
+    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(i, *x) for i, x in want.items()} and len(got) == len(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import discard, materialize
@@ -16,15 +16,20 @@ def _least_neighbour(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.join(least, "u").withColumn("m", F.least("m", "u")), least
 
 
+def _told(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The table of some edges, and its number of rows and sum of hashes, seen while it is written."""
+    seen = Observation()
+    hashes = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), hashes))
+    return table, seen.get
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (u, v): the least node it is linked with,
     directly or through others. Self-loops and repeated edges don't matter. No row, no result."""
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now, state = _told(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
+    while state != before and state["n"]:
         before = state
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large, first = _least_neighbour(both)
@@ -32,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(large.where("u <> v").distinct())
         seen, second = _least_neighbour(large)
         small = seen.select("u", "m").unionAll(seen.select("v", "m")).toDF("u", "v").where("u <> v")
-        after = materialize(small.distinct())
+        after, state = _told(small.distinct())
         for table in (now, first, large, second):
             discard(table)
         now = after

@@ -14,8 +14,11 @@ Sets that meet are gathered into clusters, without any pairs; clusters are dealt
 bounded size. In a first round tiles hold short parity sketches, and sets stay together only by
 sketches whose distance doesn't rule a link out. In a second round tiles hold the sets of what is
 left of the clusters, and intersections are counted exactly, each set against those that it is not
-joined with yet: of copies of one text all but the first find themselves joined. A tile returns a
-spanning forest of its links, from which the components follow.
+joined with yet. Of a cluster that needs several tiles all sets are compared first with the one of
+least class, then with the least of those not joined so far, and so on; tiles then hold only pairs
+with one that is still alone, for those that are joined need no more links among each other. So
+copies of one text, however many, are each read a few times. A tile returns a spanning forest of
+its links, from which the components follow.
 
 Equal sets are one class, found first. Classes are 64-bit hashes of whole sets.
 
@@ -39,8 +42,10 @@ from wordloom.llm.components import components
 
 #: A key that more sets share joins only together with another key.
 OFTEN = 32
-#: Bytes of sketches or sets in one side of a tile, or one set that is larger.
-TILE = 8_000_000
+#: Most sets in one side of a tile, and most bytes, or one set that is larger.
+TILE, TILE_BYTES = 256, 8_000_000
+#: In so many rounds all sets of a cluster that needs several tiles are compared with one of them.
+STARS = 4
 #: Bits of a key that say its band, and the bit above them of keys that join with any other.
 BAND, ANY = 64, 64
 #: Bits of the sketches that are compared one to one.
@@ -200,9 +205,11 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: i
 class _Forest:
     """A spanning forest of the links that are told to it."""
 
-    def __init__(self, classes: list[int]):
+    def __init__(self, classes: list[int], joined: np.ndarray | None = None):
         self.classes, self.links = classes, []
         self.tree = np.arange(len(classes))
+        if joined is not None and joined.any():
+            self.tree[joined] = np.flatnonzero(joined)[0]
 
     def apart(self, a: int) -> np.ndarray:
         """Those after ``a`` that are in another tree."""
@@ -229,9 +236,17 @@ def possible_links(classes: list[int], sizes: list[int], sketches: list[bytes],
     return out.links
 
 
-def forest(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the exact links among some sets."""
-    out = _Forest(classes)
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Do two sets link?"""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def forest(classes: list[int], sets: list[np.ndarray], percent: int, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links among some sets, of which some are joined already."""
+    out = _Forest(classes, joined)
     sizes = np.array([len(s) for s in sets])
     at = np.r_[0, np.cumsum(sizes)]
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -254,12 +269,19 @@ def forest(classes: list[int], sets: list[np.ndarray], percent: int) -> list[tup
 
 def _links(members: DataFrame, held: str, compare) -> DataFrame:
     """Links (u, v) that ``compare(classes, sizes, column held)`` finds in each tile; members, a
-    table: (cluster, cls, n, held). Any two members of a cluster share a tile."""
-    total = members.groupBy("cluster").agg(F.sum(F.length(held)).alias("total"))
-    m = members.join(materialize(total), "cluster").withColumn("sides", F.ceil(F.col("total") / TILE).cast("int"))
-    m = m.withColumn("side", F.pmod(F.hash("cls"), F.col("sides")))
-    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other")
-    m = m.select("cluster", "cls", "n", held, "side", other)
+    table: (cluster, cls, n, held, alone). Any two members of a cluster of which one is ``alone``
+    share a tile."""
+    one, size = F.count(F.lit(1)), F.sum(F.length(held))
+    sides = F.ceil(F.greatest(one / TILE, size / TILE_BYTES)).cast("int")
+    side = F.pmod(F.hash("cls"), F.col("sides"))
+    totals = materialize(members.groupBy("cluster").agg(sides.alias("sides")))
+    # Each side that holds a set alone meets each side of all.
+    dealt = materialize(members.where("alone").select("cluster", "cls").join(totals, "cluster").select("cluster", "sides", side.alias("side")))
+    lone = materialize(dealt.groupBy("cluster", "sides").agg(F.collect_set("side").alias("lone")))
+    rows = members.join(lone, "cluster").withColumn("side", side)
+    every = F.sequence(F.lit(0), F.col("sides") - 1)
+    other = F.explode(F.when(F.array_contains("lone", F.col("side")), every).otherwise(F.col("lone"))).alias("other")
+    m = rows.select("cluster", "cls", "n", held, "side", other)
     tile = F.xxhash64("cluster", F.least("side", "other"), F.greatest("side", "other")).alias("tile")
     m = m.select(tile, "cls", "n", held)
 
@@ -286,6 +308,40 @@ def _links(members: DataFrame, held: str, compare) -> DataFrame:
     return m.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "u bigint, v bigint")
 
 
+def _starred(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of sets with one set of their cluster, for clusters of several tiles; and the
+    table of sets, n telling which are joined with others by these, as one tree, ``alone`` which
+    are not."""
+    size = F.greatest(F.count(F.lit(1)) / TILE, F.sum(F.length("tokens")) / TILE_BYTES)
+    large = materialize(sets.groupBy("cluster").agg(size.alias("size")).where("size > 1").select("cluster"))
+    links = sets.select(F.col("cls").alias("u"), F.col("cls").alias("v")).limit(0)
+    if large.isEmpty():
+        return links, sets
+    rest, now = sets.join(large, "cluster", "left_anti"), materialize(sets.join(large, "cluster"))
+
+    def against(batches):
+        for batch in batches:
+            u, v, x, y = (c.to_pylist() for c in batch.columns)
+            same = [a != b and similar(np.frombuffer(s, K.U), np.frombuffer(t, K.U), percent) for a, b, s, t in zip(u, v, x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([a for a, k in zip(u, same) if k], [b for b, k in zip(v, same) if k])], ["u", "v"])
+
+    for step in range(STARS):
+        centre = now.where("alone").groupBy("cluster").agg(F.min_by("cls", F.xxhash64("cls", F.lit(step))).alias("centre"))
+        centre = centre.join(now.select(F.col("cls").alias("centre"), F.col("tokens").alias("held")), "centre")
+        pairs = now.join(materialize(centre), "cluster").select("cls", "centre", "tokens", "held")
+        found = materialize(pairs.mapInArrow(against, "u bigint, v bigint"))
+        links = links.unionAll(found)
+        # Joined is the largest tree of the cluster.
+        tree = materialize(now.select("cluster", "cls").join(components(links).toDF("cls", "tree"), "cls"))
+        first = tree.groupBy("cluster", "tree").count().groupBy("cluster").agg(F.max_by("tree", "count").alias("tree"))
+        joined = tree.join(materialize(first), ["cluster", "tree"]).select("cls", F.lit(1).alias("n"))
+        now = now.drop("n", "alone").join(joined, "cls", "left").fillna(0, ["n"]).withColumn("alone", F.col("n") == 0)
+        now = materialize(now.select("cluster", "cls", "n", "tokens", "alone"))
+        if now.where("alone").isEmpty():
+            break
+    return links, materialize(rest.unionByName(now))
+
+
 def _met(shared: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) that join all sets that meet in a key, or in two where many have them.
     Aggregates are written before they are joined, so that Spark can split a join at a key that
@@ -317,16 +373,17 @@ def join_components(
 
     firsts = clusters.join(classes, "cls").withColumnRenamed("first_id", id_col)
     sketches = docs.join(firsts, [id_col, "cls"]).dropDuplicates(["cls"])
-    sketches = materialize(sketches.select("cluster", "cls", F.col("n_shingles").alias("n"), "sketch"))
+    sketches = materialize(sketches.select("cluster", "cls", F.col("n_shingles").alias("n"), "sketch", F.lit(True).alias("alone")))
     possible = _links(sketches, "sketch", lambda c, n, x: possible_links(c, n, x, percent))
     clusters = components(possible).toDF("cls", "cluster")
 
     wanted = materialize(classes.join(clusters, "cls").select(F.col("first_id").alias(id_col), "cls", "cluster"))
     sets = _sets(df, wanted.select(id_col, "cls"), id_col, text_col, words)
-    sets = wanted.select("cls", "cluster").join(sets, "cls").select("cluster", "cls", F.lit(0).alias("n"), "tokens")
-    exact = lambda c, _, x: forest(c, [np.frombuffer(t, K.U) for t in x], percent)
-    links = _links(materialize(sets), "tokens", exact)
-    linked = components(links).toDF("cls", "component")
+    sets = wanted.select("cls", "cluster").join(sets, "cls").select("cluster", "cls", F.lit(0).alias("n"), "tokens", F.lit(True).alias("alone"))
+    exact = lambda c, joined, x: forest(c, [np.frombuffer(t, K.U) for t in x], percent, np.array(joined, bool))
+    starred, sets = _starred(materialize(sets), percent)
+    links = _links(sets, "tokens", exact)
+    linked = components(starred.unionAll(links)).toDF("cls", "component")
 
     named = materialize(classes.join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     least_id = materialize(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
