@@ -6,9 +6,9 @@ sketch is cut into blocks; a block is kept as the XOR of random numbers of its s
 of a size band that may link differ in at most d tokens, so with d + 1 + e blocks at least e + 1
 are equal: pairs that can link meet in a join on (band, block, value). Blocks without a set bit
 say little, so they join as subsets of e at a time. Values that very many sets share join only
-two at a time, and only two of the same of about e / 2 groups of values, for e + 1 equal blocks
-put two into one group. (Sets with many blocks without a bit, which have fewer values in common,
-join two of any.) Nothing that can link is lost by this.
+two at a time, and only two of the same of some groups of values, fewer than the equal blocks with
+a bit, which put two into one group. (Sets with very many blocks without a bit, which may have
+fewer values in common, join two of any.) Nothing that can link is lost by this.
 
 Sets that meet are gathered into clusters, without any pairs; clusters are dealt out as tiles of
 bounded size. In a first round tiles hold short parity sketches, and sets stay together only by
@@ -29,6 +29,8 @@ are documents like others; equal ids share a component. Other columns are not re
 
 from __future__ import annotations
 
+import bisect
+import math
 from itertools import combinations
 
 import numpy as np
@@ -58,37 +60,50 @@ class Bands:
     """Size bands and their blocks for links of ``100 * intersection >= percent * union``."""
 
     def __init__(self, percent: int, growth: float = 1.4):
+        if percent < 70:
+            raise ValueError("sets of a similarity under 0.7 differ in too many tokens for blocks of bits")
         self.percent, self.growth = percent, growth
         self.edges = [1]
+        self.shapes: dict[int, tuple[int, int, int] | None] = {}
 
-    def of(self, n: int) -> list[tuple[int, int, int]]:
-        """(band, blocks, spare blocks) in which a set of n tokens may meet one as large or
+    def shape(self, band: int) -> tuple[int, int, int] | None:
+        """Blocks, spare blocks, and groups of frequent keys of a band; None if only equal sets link
+        in it. Of large bands as many blocks are spare as may well have no bit, and one more for
+        each group, so that sets hardly ever have to be joined by subsets of their bare blocks."""
+        if band not in self.shapes:
+            low, high = self.edges[band], self.edges[band + 1] - 1
+            differ = 2 * high * (100 - self.percent) // (100 + self.percent)
+            groups, bare = 1 + (differ + 1) // 25, 1
+            n = low * self.percent / 100  # tokens of the smallest set of the band
+            for above in (4, 3, 2, 1, 0) if differ > 15 else ():
+                bare, last = 1, 0
+                while last < bare <= differ:
+                    blocks, last = differ + 1 + bare + groups, bare
+                    mean = blocks * math.exp(-n / blocks)
+                    bare = max(bare, math.ceil(mean + above * math.sqrt(mean)))
+                if bare <= differ // 2:
+                    break
+            else:
+                bare = 1
+            spare = bare + groups
+            self.shapes[band] = (differ + 1 + spare, spare, groups) if differ else None
+        return self.shapes[band]
+
+    def of(self, n: int) -> list[tuple[int, int, int, int]]:
+        """(band, blocks, spare blocks, groups) in which a set of n tokens may meet one as large or
         larger, or is the larger one. Bands where only equal sets link are left out."""
         while self.edges[-1] <= 100 * n // self.percent + 1:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * self.growth)))
-        out = []
-        for band in range(len(self.edges) - 1):
-            low, high = self.edges[band], self.edges[band + 1] - 1
-            if high < n or low > 100 * n // self.percent:
-                continue
-            differ = 2 * high * (100 - self.percent) // (100 + self.percent)
-            if differ:
-                spare = 2 + (differ + 1) // 25
-                out.append((band, differ + 1 + spare, spare))
-        return out
-
-    def groups(self, band: int) -> int:
-        """In how many groups the frequent keys of a band are: two sets with at most ``spare`` less
-        this many common blocks without a bit have one common key more."""
-        low = self.edges[band]
-        spare = next((spare for b, _, spare in self.of(low) if b == band), 1)
-        return max(1, (spare + 1) // 2)
+        first = max(0, bisect.bisect_right(self.edges, n) - 1)
+        last = bisect.bisect_right(self.edges, 100 * n // self.percent)
+        bands = range(first, min(last, len(self.edges) - 1))
+        return [(band, *shape) for band in bands if (shape := self.shape(band))]
 
 
 def keys_of(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     """The join keys of a set: hashes with the band in the lowest bits."""
     out = []
-    for band, blocks, spare in bands.of(len(tokens)):
+    for band, blocks, spare, groups in bands.of(len(tokens)):
         block = (K.mix(tokens, band + 1) >> K.U(20)) % K.U(blocks)
         order = np.argsort(block, kind="stable")
         sorted_blocks = block[order]
@@ -103,7 +118,7 @@ def keys_of(tokens: np.ndarray, bands: Bands) -> np.ndarray:
             keys.append(k)
         own = np.concatenate(keys) & ~K.U(BAND + ANY - 1) | K.U(band)
         out.append(own)
-        if bands.groups(band) > 1 and len(bare) > spare - bands.groups(band):
+        if groups > 1 and len(bare) > spare - groups:
             out.append(own | K.U(ANY))
     return np.concatenate(out) if out else np.zeros(0, K.U)
 
@@ -111,7 +126,7 @@ def keys_of(tokens: np.ndarray, bands: Bands) -> np.ndarray:
 def group_of(key: Column, bands: Bands) -> Column:
     """A frequent key joins with others of its group only."""
     bands.of(1 << 40)
-    groups = F.array(*(F.lit(bands.groups(b)) for b in range(min(BAND, len(bands.edges) - 1))))
+    groups = F.array(*(F.lit((bands.shape(b) or (0, 0, 1))[2]) for b in range(min(BAND, len(bands.edges) - 1))))
     band = key.bitwiseAND(F.lit(BAND - 1))
     of = F.when(key.bitwiseAND(F.lit(ANY)) == 0, F.get(groups, band.cast("int"))).otherwise(F.lit(1))
     return F.xxhash64(key.bitwiseAND(F.lit(BAND + ANY - 1)), F.pmod(F.shiftright(key, 7), of))
