@@ -230,6 +230,7 @@ QUERIES: dict[str, Query] = {
     "corrections_capped": lambda s, d: search.corrections(index(s, d), typos(s, d).select("query_id", "query", F.lit(3).alias("cap_not_found"), F.lit(1).alias("cap_found"))),
     "results_shown": lambda s, d: search.shown(search.completions(index(s, d), prefixes(s, d))).select("query_id", "rank", "shown"),
     "suggestions_replayed": lambda s, d: replay.replay(nodes(s, d), both(s, d)),
+    "search_trace": lambda s, d: replay.trace(nodes(s, d), both(s, d)),
     "completions_empty": lambda s, d: search.completions(index(s, d), _empty(s)),
     "find_empty": _find_empty,
     "recall_by_kind": _recall_by_kind,
