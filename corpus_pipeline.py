@@ -53,7 +53,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: SQL can't express the stages; tests hold them against brute force.
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
