@@ -1,7 +1,7 @@
 """Quality rules with an n-gram perplexity band for each language.
 
 The language model is a modified Kneser-Ney model of order 4 over characters: the code points of
-any script, lower-cased, digits and kinds of white space as one. Spark counts the n-grams of all
+any script, lower-cased, with digits, white space, stops and other marks as one each. Spark counts the n-grams of all
 documents, and computes continuation counts, discounts, back-off weights and probabilities from
 the counts, for each language, in DataFrames. So the model grows with what the corpus holds, and
 nothing of it is gathered in one place.
@@ -40,7 +40,7 @@ from wordloom.llm import kernel as K
 from wordloom.llm.common import count_rows, map_texts, materialize, slices, texts_of, tidy
 
 ORDER, BITS = 4, 16
-SPACE, LINE, DIGIT = 32, 10, 48
+SPACE, LINE, DIGIT, STOP, MARK = 32, 10, 48, 46, 35
 #: Most numbers of the model that are sent at once; 12 bytes each.
 PART = 4_000_000
 #: Sums that a worker remembers (16 bytes each), a power of two.
@@ -58,14 +58,16 @@ def _characters() -> np.ndarray:
     out = np.arange(0x10000, dtype=np.uint64)
     for point in range(0x10000):
         c = chr(point)
-        if c == "\n":
+        if c == "\n" or 0xE000 <= point < 0xF900:  # private, for those beyond 0xFFFF
             continue
         if c.isspace() or unicodedata.category(c) == "Cc":
             out[point] = SPACE
         elif unicodedata.category(c)[0] == "N":
             out[point] = DIGIT
-        elif len(c.lower()) == 1:
-            out[point] = ord(c.lower())
+        elif unicodedata.category(c)[0] in "LM":
+            out[point] = ord(c.lower()) if len(c.lower()) == 1 else point
+        else:
+            out[point] = STOP if c in ".,;:!?'\"()-" else MARK
     return out
 
 
