@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,15 +39,26 @@ def map_texts(
 
 
 #: Bytes of a batch that a function gets at once, unless a single row has more.
-SLICE = 6_000_000
+SLICE = 4_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, cut where they hold many long texts."""
+    """The batches, cut where they hold many long texts. After the last one the worker, which goes
+    on to other tasks, hands free memory back."""
     for batch in batches:
         rows = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    _hand_back()
+
+
+def _hand_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 def map_rows(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch, int], pa.RecordBatch]]) -> DataFrame:

@@ -35,7 +35,7 @@ UNKNOWN = 1e-8
 ROUNDS = 4
 SMOOTHING = 0.05
 #: Bytes of words and their scores that are remembered from one block of texts to the next.
-REMEMBERED = 100_000_000
+REMEMBERED = 40_000_000
 
 
 def default_vocabulary() -> str:
@@ -156,7 +156,7 @@ class Lattice:
         at = 0
         while at < len(order):
             to = at + 1
-            while to < len(order) and to - at < 20_000 and (to - at + 1) * (len(words[order[to]]) + 2) <= 400_000:
+            while to < len(order) and to - at < 10_000 and (to - at + 1) * (len(words[order[to]]) + 2) <= 150_000:
                 to += 1
             block = order[at:to]
             out[block] = self.forward([words[i] for i in block], probability)

@@ -173,7 +173,7 @@ def _keys(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -
             for tokens in K.shingle_sets(batch.column(0), words):
                 if not len(tokens) or (c := class_of(tokens)) in seen:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= 250_000:
                     seen.clear()
                 seen.add(c)
                 keys.append(keys_of(tokens, bands))
