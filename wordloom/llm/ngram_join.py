@@ -73,7 +73,7 @@ class Bands:
         if band not in self.shapes:
             low, high = self.edges[band], self.edges[band + 1] - 1
             differ = 2 * high * (100 - self.percent) // (100 + self.percent)
-            groups, bare = 1 + (differ + 1) // 25, 1
+            groups, bare = 1 + (differ + 1) // 5, 1
             n = low * self.percent / 100  # tokens of the smallest set of the band
             for above in (4, 3, 2, 1, 0) if differ > 15 else ():
                 bare, last = 1, 0
