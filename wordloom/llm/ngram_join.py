@@ -42,8 +42,9 @@ from wordloom.llm import kernel as K
 from wordloom.llm.common import count_rows, discard, map_texts, materialize, slices, tidy, without
 from wordloom.llm.components import components
 
-#: A key that more sets share joins only together with another key.
-OFTEN = 32
+#: A key that more sets share joins only together with another key; with 1, keys join two at a time,
+#: and a passage that many texts share doesn't gather them in one cluster.
+OFTEN = 1
 #: Most sets in one side of a tile, and most bytes, or one set that is larger.
 TILE, TILE_BYTES = 256, 8_000_000
 #: In so many rounds all sets of a cluster that needs several tiles are compared with one of them.
