@@ -5,7 +5,7 @@ so the Hamming distance of two sketches is at most the symmetric difference of t
 sketch is cut into blocks; a block is kept as the XOR of random numbers of its set bits. Two sets
 of a size band that may link differ in at most d tokens, so with d + 1 + e blocks at least e + 1
 are equal: pairs that can link meet in a join on (band, block, value). Blocks without a set bit
-say little, so they join as subsets of e at a time. Values that very many sets share join only
+say little, so they join as subsets of e at a time. Values that more than OFTEN sets share join only
 two at a time, and only two of the same of some groups of values, fewer than the equal blocks with
 a bit, which put two into one group. (Sets with very many blocks without a bit, which may have
 fewer values in common, join two of any.) Nothing that can link is lost by this.
