@@ -69,3 +69,15 @@ def test_recorded_dump(spark, goldens):
     _, dump, nodes, _ = goldens
     got = [r.line for r in browse.dump(nodes).orderBy("path", "place").collect()]
     assert got == dump.split("---\n", 2)[2].strip("\n").split("\n")
+
+
+@pytest.mark.parametrize("query, n", [("replay", 3)])
+def test_joins_with_prefixes_of_all_nodes_say_what_is_sent(spark, monkeypatch, query, n):
+    """By the size of files Spark would gather exploded nodes in the driver and send them."""
+    nodes, asked = tree(spark, [("plan", 152, 1), ("plat", 324, 2), ("ko", 20, 6)]), ask(spark, "pla", "plane", "zz")
+    real, plans = replay.materialize, []
+    monkeypatch.setattr(replay, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    getattr(replay, query)(nodes, asked)
+    joins = [line for plan in plans for line in plan.split("\n") if " Join Inner, (" in line]
+    assert len(joins) >= n
+    assert all("Hint=(strategy=" in line for line in joins)

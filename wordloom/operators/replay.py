@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from wordloom.functions.text import deletion_variants, prefixes, within_one_edit
 from wordloom.operators import search
 from wordloom.operators.build import words_of
+from wordloom.session import materialize, sized, tidy
 
 RESULT = "query_id BIGINT, query STRING, rank BIGINT, kind STRING, expr_index INT, percentile INT, word STRING"
 TRACE = (
@@ -63,16 +64,15 @@ def finished(matching: list[tuple], spelled: list[tuple], extended: list[tuple])
     return out
 
 
-def _reach(nodes: DataFrame, queries: DataFrame, candidates: Column | str) -> DataFrame:
+def _reach(nodes: DataFrame, found: DataFrame, candidates: Column | str) -> DataFrame:
     """(query_id, role, word, expr_index, percentile, seed): each query's match, neighbours,
     neighbouring nodes, and extensions."""
-    found = search.asked(nodes, queries)
     words = words_of(nodes).where(candidates)
     near = search.neighbours(found.where("cap > 0"), words).where("asked <> word")
     near = near.select("query_id", F.lit("near").alias("role"), "word", "expr_index", "percentile", F.lit("").alias("seed"))
     own = found.where("match IS NOT NULL").select("query_id", F.lit("own").alias("role"), "match.word", "match.expr_index", "match.percentile", F.lit("").alias("seed"))
     steps = words.select("*", F.explode(prefixes("word")).alias("asked")).where("asked <> word")
-    more = found.where("has_children").select("query_id", "asked").join(steps, "asked")
+    more = steps.join(sized(found.where("has_children").select("query_id", "asked")), "asked")
     more = more.select("query_id", F.lit("more").alias("role"), "word", "expr_index", "percentile", F.lit("").alias("seed"))
     at = nodes.select(F.col("prefix").alias("word"), F.lit(0).alias("expr_index"), F.col("max_child_percentile").alias("percentile"))
     seeds = search.neighbours(found.where("NOT has_children AND cap > 0"), at)
@@ -80,10 +80,11 @@ def _reach(nodes: DataFrame, queries: DataFrame, candidates: Column | str) -> Da
     return own.unionByName(near).unionByName(more).unionByName(seeds)
 
 
+@tidy
 def replay(nodes: DataFrame, queries: DataFrame, candidates: Column | str = "true") -> DataFrame:
     """Suggestions as `search.suggestions`, with the walk's choice among equals and its repeats."""
     found = search.asked(nodes, queries)
-    reach = _reach(nodes, queries, candidates)
+    reach = materialize(_reach(nodes, found, candidates))
 
     def chosen(rows: pd.DataFrame) -> pd.DataFrame:
         best = Best(search.SEEDS)
@@ -91,11 +92,11 @@ def replay(nodes: DataFrame, queries: DataFrame, candidates: Column | str = "tru
             best.offer(r.percentile, r.word)
         return pd.DataFrame([(rows.query_id.iloc[0], i, w) for i, (_, w) in enumerate(best.items)], columns=["query_id", "place", "seed"])
 
-    seeds = reach.where("role = 'seed'").groupBy("query_id").applyInPandas(chosen, "query_id BIGINT, place INT, seed STRING")
+    seeds = materialize(reach.where("role = 'seed'").groupBy("query_id").applyInPandas(chosen, "query_id BIGINT, place INT, seed STRING"))
     parent = F.expr("substr(seed, 1, length(seed) - 1)")
     words = words_of(nodes).where(candidates)
     above = F.explode(F.expr("concat(array(''), slice(transform(sequence(1, length(word)), i -> substr(word, 1, i)), 1, length(word) - 1))"))
-    swept = words.select("*", above.alias("parent")).join(seeds.withColumn("parent", parent), "parent")
+    swept = words.select("*", above.alias("parent")).join(sized(seeds.withColumn("parent", parent)), "parent")
     swept = swept.where("substr(word, 1, length(seed)) >= seed")
     swept = swept.select("query_id", F.format_string("sweep%d", "place").alias("role"), "word", "expr_index", "percentile", "seed")
     rows = reach.where("role <> 'seed'").unionByName(swept).join(found.select("query_id", "query", "cap"), "query_id")

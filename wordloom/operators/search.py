@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import deletion_variants, prefixes, spellings_cap, within_one_edit
 from wordloom.operators.build import words_of
-from wordloom.session import materialize
+from wordloom.session import materialize, sized
 
 MOST = 6
 SEEDS = 3
@@ -109,14 +109,15 @@ def _capped(rows: DataFrame) -> DataFrame:
 
 
 def asked(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """Queries with what the tree has at them: asked (an empty query asks for the first node),
+    """A table of queries with what the tree has at them: asked (an empty query asks for the first node),
     is_node, has_children, match (the word's row or null), cap."""
-    rows = _with_caps(queries, nodes.where("parent = ''").agg(F.min("prefix").alias("first")))
-    at = nodes.select(
+    rows = materialize(_with_caps(queries, nodes.where("parent = ''").agg(F.min("prefix").alias("first"))))
+    few = sized(rows.select("asked").distinct())
+    at = nodes.join(few.withColumnRenamed("asked", "prefix"), "prefix", "left_semi").select(
         F.col("prefix").alias("asked"), F.lit(True).alias("is_node"), (F.col("first_child_pos") > 0).alias("has_children"),
         F.when(F.col("expr_index").isNotNull(), F.struct("expr_index", "percentile", F.col("prefix").alias("word"))).alias("match"),
     )
-    return _capped(rows.join(at, "asked", "left"))
+    return materialize(_capped(rows.join(at, "asked", "left")))
 
 
 def _placed(found: Index, queries: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def neighbours(queries: DataFrame, words: DataFrame, word: str = "word") -> Data
     meets is then tested."""
     q = queries.select("query_id", "asked", F.explode(deletion_variants("asked")).alias("variant"))
     w = words.select("*", F.explode(deletion_variants(word)).alias("variant"))
-    return q.join(w, "variant").where(within_one_edit("asked", word)).drop("variant").distinct()
+    return w.join(sized(q), "variant").where(within_one_edit("asked", word)).drop("variant").distinct()
 
 
 def _near(found: Index, rows: DataFrame) -> DataFrame:
