@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom.llm import components
 from wordloom.llm import ngram_join as N
 from wordloom.llm.ngram_join import join_components
 
@@ -144,3 +145,23 @@ def test_large_clusters(spark, monkeypatch):
     want = brute(list(dict(rows).items()))
     got = join_components(df).collect()
     assert {(x.doc_id, x.n_shingles, x.component_id) for x in got} == {(i, *x) for i, x in want.items()} and len(got) == len(rows)
+
+
+def test_components_in_one_task_and_by_stars(spark, monkeypatch):
+    """Both ways give the least node of each component: of a chain, of rings, and of a random graph."""
+    rng = np.random.default_rng(5)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 9), (9, 8), (8, 7), (3, 3)] + rng.integers(1000, 1400, (180, 2)).tolist()
+    want = {n: {n} for e in edges for n in e if e[0] != e[1]}
+    for u, v in edges:
+        if u != v and want[u] is not want[v]:
+            want[u] |= want[v]
+            for n in want[v]:
+                want[n] = want[u]
+    df, jobs = spark.createDataFrame(edges, "u bigint, v bigint"), []
+    real = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df: jobs.append(1) or real(df))
+    for few, most in ((components.FEW_EDGES, 2), (0, 100)):
+        monkeypatch.setattr(components, "FEW_EDGES", few)
+        jobs.clear()
+        assert {r.node: r.component for r in components.components(df).collect()} == {n: min(of) for n, of in want.items()}
+        assert len(jobs) <= most

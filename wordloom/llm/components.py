@@ -1,12 +1,20 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps. As many edges
+as one task holds in little memory are joined there, for each step takes five jobs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import discard, materialize
 
+#: Most edges (16 bytes each) that one task joins.
+FEW_EDGES = 500_000
+
 
 def _least_neighbour(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) of a table with m, the least of u and its neighbours; and the table of these.
@@ -24,10 +32,34 @@ def _told(edges: DataFrame) -> tuple[DataFrame, dict]:
     return table, seen.get
 
 
+def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and for each the least node that it is linked with or itself."""
+    nodes, at = np.unique(np.r_[u, v], return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edges = [np.column_stack([c.to_numpy() for c in batch.columns]) for batch in batches]
+    if edges:
+        out = pa.RecordBatch.from_arrays([pa.array(x) for x in least_nodes(*np.concatenate(edges).T)], ["node", "component"])
+        for at in range(0, out.num_rows, 50_000):
+            yield out.slice(at, 50_000)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (u, v): the least node it is linked with,
     directly or through others. Self-loops and repeated edges don't matter. No row, no result."""
-    now, state = _told(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now, state = _told(edges.where("u <> v").select(F.greatest("u", "v").cast("bigint").alias("u"), F.least("u", "v").cast("bigint").alias("v")).distinct())
+    if state["n"] <= FEW_EDGES:
+        out = materialize(now.coalesce(1).mapInArrow(_joined, "node bigint, component bigint"))
+        discard(now)
+        return out
     before = None
     while state != before and state["n"]:
         before = state
