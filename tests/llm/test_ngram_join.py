@@ -165,3 +165,20 @@ def test_components_in_one_task_and_by_stars(spark, monkeypatch):
         jobs.clear()
         assert {r.node: r.component for r in components.components(df).collect()} == {n: min(of) for n, of in want.items()}
         assert len(jobs) <= most
+
+
+def test_shuffled_keys_are_deleted_before_sets_meet(spark, monkeypatch):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(f.getName().startswith("shuffle_") for f in (files.apply(i) for files in [disk.getAllFiles()] for i in range(files.size())))
+    real, seen = N.reclaim, []
+
+    def reclaim(session):
+        before, until = held(), time.time() + 10
+        real(session)
+        while held() >= before and time.time() < until:  # Spark deletes in the background
+            time.sleep(0.1)
+        seen.append((before, held()))
+
+    monkeypatch.setattr(N, "reclaim", reclaim)
+    join_components(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id bigint, text string"))
+    assert [after < before for before, after in seen] == [True]
