@@ -146,24 +146,26 @@ def _walked(found: DataFrame, tree: DataFrame) -> DataFrame:
     starts = F.explode(F.concat(F.array(F.lit("")), F.expr("IF(query = '', array(), transform(sequence(1, greatest(length(query), 1)), i -> substr(query, 1, i)))"))).alias("start")
     of_query = found.where("cap > 0").select("query_id", "query", "has_children", starts).select("*", F.explode(deletion_variants("start")).alias("variant"))
     of_node = tree.select(F.col("prefix").alias("node"), F.explode(deletion_variants("prefix")).alias("variant"))
-    near = of_query.join(of_node, "variant").where(within_one_edit("start", "node"))
-    below = near.select("query_id", F.col("node").alias("parent")).distinct().join(tree.select("prefix", "parent"), "parent")
-    roots = found.where("cap > 0").select("query_id", F.lit("").alias("parent")).join(tree.select("prefix", "parent"), "parent")
+    near = materialize(of_node.join(sized(of_query), "variant").where(within_one_edit("start", "node")))
+    below = tree.select("prefix", "parent").join(sized(near.select("query_id", F.col("node").alias("parent")).distinct()), "parent")
+    roots = tree.where("parent = ''").select("prefix").crossJoin(sized(found.where("cap > 0").select("query_id")))
     steps = tree.select("prefix", F.explode(F.concat(F.array(F.lit("")), prefixes("prefix"))).alias("above"))
-    more = found.where("has_children").select("query_id", F.col("asked").alias("above")).join(steps, "above")
+    more = steps.join(sized(found.where("has_children").select("query_id", F.col("asked").alias("above"))), "above")
     seeds = near.where("start = query AND NOT has_children").select("query_id", F.col("node").alias("seed"), F.expr("substr(node, 1, length(node) - 1)").alias("above"))
-    swept = seeds.distinct().join(steps, "above").where("substr(prefix, 1, length(seed)) >= seed")
+    swept = steps.join(sized(seeds.distinct()), "above").where("substr(prefix, 1, length(seed)) >= seed")
     rows = [x.select("query_id", "prefix") for x in (below, roots, more, swept)]
     return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3]).distinct()
 
 
+@tidy
 def trace(nodes: DataFrame, queries: DataFrame, candidates: set[int] | None = None) -> DataFrame:
     """The walk of each query, a row for each node it decides on, in order: first the distance
     walk, then the sweeps for extensions."""
     tree = nodes.select("prefix", "parent", "percentile", "expr_index", "max_child_percentile")
     found = search.asked(nodes, queries)
     asked = found.select("query_id", "query", "cap", F.col("match.expr_index").alias("own"))
-    together = asked.join(_walked(found, tree), "query_id").join(tree, "prefix")
+    walked = materialize(_walked(found, tree))
+    together = tree.join(sized(walked), "prefix").join(asked, "query_id")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         query, cap, number = rows["query"].iloc[0], int(rows.cap.iloc[0]), rows.query_id.iloc[0]
