@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import prefixes
 from wordloom.operators.build import node_counts
-from wordloom.session import with_rank
+from wordloom.session import sized, with_rank
 
 
 def ancestors(nodes: DataFrame, queries: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def descendants(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, prefix): each query that is a node and all nodes below it; by prefix they are in
     pre-order."""
     below = nodes.select("prefix", F.explode(prefixes("prefix")).alias("query"))
-    return queries.join(below, "query").select("query", "prefix")
+    return below.join(sized(queries), "query").select("query", "prefix")
 
 
 def traversal(nodes: DataFrame) -> DataFrame:
