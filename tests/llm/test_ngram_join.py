@@ -182,3 +182,24 @@ def test_shuffled_keys_are_deleted_before_sets_meet(spark, monkeypatch):
     monkeypatch.setattr(N, "reclaim", reclaim)
     join_components(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id bigint, text string"))
     assert [after < before for before, after in seen] == [True]
+
+
+def test_steps_leave_no_shuffles(spark, monkeypatch):
+    """The files of a step's shuffles go as its table is written, whether or not a plan is collected."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(f.getName().startswith("shuffle_") for f in (files.apply(i) for files in [disk.getAllFiles()] for i in range(files.size())))
+    real, left = N.materialize, []
+
+    def materialize(df):
+        before, until = held(), time.time() + 5
+        out = real(df)
+        while held() > before and time.time() < until:  # Spark deletes in the background
+            time.sleep(0.05)
+        left.append(held() - before)
+        return out
+
+    monkeypatch.setattr(N, "materialize", materialize)
+    monkeypatch.setattr(N, "reclaim", lambda session: None)
+    join_components(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g")], "doc_id bigint, text string"))
+    assert len(left) > 4 and max(left[2:]) <= 0  # after the tables of documents and of classes
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

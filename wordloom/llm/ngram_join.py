@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm import kernel as K
-from wordloom.llm.common import count_rows, discard, map_texts, materialize, reclaim, slices, tidy, without
+from wordloom.llm.common import brief_shuffles, count_rows, discard, map_texts, materialize, reclaim, slices, tidy, without
 from wordloom.llm.components import components
 
 #: A key that more sets share joins only together with another key; with 1, keys join two at a time,
@@ -384,6 +384,14 @@ def join_components(
     docs = materialize(_classes(df, id_col, text_col, words))
     classes = materialize(docs.where("cls is not null").groupBy("cls").agg(F.min(id_col).alias("first_id")))
 
+    with brief_shuffles(df.sparkSession):
+        return _components(df, docs, classes, id_col, text_col, words, percent)
+
+
+def _components(
+    df: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, percent: int
+) -> DataFrame:
+    """The result of `join_components` from its tables of documents and of classes."""
     shared = materialize(_shared(_keys(df, id_col, text_col, words, percent)))
     reclaim(df.sparkSession)  # the keys are many times what is left of them
     clusters = components(_met(shared, percent)).toDF("cls", "cluster")
